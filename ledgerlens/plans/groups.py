@@ -79,3 +79,17 @@ def with_totals(df: DataFrame, source: DataFrame, **totals: Column) -> DataFrame
     one = source.agg(F.struct(*[totals[n].alias(n) for n in names]).alias("s"))
     out = df.withColumn("__one", one.scalar())
     return out.select(*df.columns, *[F.col("__one")[n].alias(n) for n in names])
+
+
+def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join to a table with unique keys, also when one key holds most of the rows.
+
+    A dimension whose counted size allows it is broadcast; a larger one is shuffled, while the
+    rows of hot keys meet the few dimension rows they need by broadcast.
+    """
+    keys = list(keys)
+    if dim.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(dim), keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+    stats = dim.join(sizes, keys)
+    return attach(df, stats, keys, small=False).filter(F.col(ROWS).isNotNull()).drop(ROWS)
