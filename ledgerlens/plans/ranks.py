@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerlens.plans.groups import ROWS, TASK_ROWS, attach
 from ledgerlens.plans.ordered import positions
+from ledgerlens.session import cut_lineage
 
 
 def dense_ranks(df: DataFrame, ranks: dict[str, str], *, split: bool | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def dense_ranks(df: DataFrame, ranks: dict[str, str], *, split: bool | None = No
                 for n, c in ranks.items()
             ],
         )
-    out = df
+    # The table is read once per rank and again for the join, so it is written down first.
+    df = out = cut_lineage(df, "ranked")
     for name, column in ranks.items():
         values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(ROWS))
         falling = values.withColumn("__fall", -F.col(column))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("revenue", "products")
+MODULES = ("revenue", "products", "retention", "anomalies")
 
 
 def load_all() -> None:
