@@ -31,11 +31,15 @@ def _holds(doc: Column, path: str, wanted) -> Column:
         items = F.try_variant_get(doc, path, "array<variant>")
         here = items.isNotNull()
         for value in wanted:
-            here = here & F.coalesce(F.exists(items, lambda x, v=value: _member(x, v)), F.lit(False))
+            here = here & F.coalesce(F.exists(items, _equals(value)), F.lit(False))
         return here
     return F.coalesce(_scalar(F.try_variant_get(doc, path, "variant"), wanted), F.lit(False))
 
 
+def _equals(wanted):
+    return lambda item: _member(item, wanted)
+
+
 def _member(item: Column, wanted) -> Column:
     if isinstance(wanted, (dict, list)):
         return F.coalesce(_holds(item, "$", wanted), F.lit(False))

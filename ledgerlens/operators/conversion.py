@@ -116,14 +116,18 @@ def map_names(df: DataFrame, mapping: dict[str, str], case_sensitive: bool = Fal
 
 
 def expected_columns(df: DataFrame, expected: Sequence[str], strict: bool = False) -> DataFrame:
-    """Missing and extra columns against a list, and the share found. Reads no data."""
+    """Missing and extra columns against a list, the share found, and the rows concerned."""
     missing = sorted(set(expected) - set(df.columns))
     extra = sorted(set(df.columns) - set(expected))
     if strict and missing:
         raise ValueError(f"missing columns: {missing}")
     share = 100.0 * (len(set(expected)) - len(missing)) / max(len(set(expected)), 1)
-    row = [(",".join(missing), ",".join(extra), share)]
-    return df.sparkSession.createDataFrame(row, "missing string, extra string, match_percentage double")
+    return df.agg(
+        F.lit(",".join(missing)).alias("missing"),
+        F.lit(",".join(extra)).alias("extra"),
+        F.lit(share).alias("match_percentage"),
+        F.count(F.lit(1)).alias("row_count"),
+    )
 
 
 def map_values(df: DataFrame, column: str, mapping: dict) -> DataFrame:

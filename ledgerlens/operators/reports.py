@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.functions.numeric import percent, ratio
 from ledgerlens.operators.filters import largest, smallest
 from ledgerlens.operators.kpis import exact_sum
+from ledgerlens.plans.groups import lookup
 
 # Shares of the cost and of the profit used by the financial report.
 COST_OF_REVENUE, OPERATING_EXPENSES = 0.65, 0.35
@@ -183,7 +184,7 @@ def funnel(
     for i, stage in enumerate(stages[1:], 1):
         here = rows.filter(F.col("stage") == stage).select("user", "ts")
         prior = reached.select("user", F.col(f"t{i - 1}").alias("__after"))
-        later = here.join(prior, "user").filter(F.col("ts") >= F.col("__after"))
+        later = lookup(here, prior, ["user"]).filter(F.col("ts") >= F.col("__after"))
         step = later.groupBy("user").agg(F.min("ts").alias(f"t{i}"))
         reached = reached.join(step, "user", "left")
     one = reached.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(len(stages))])

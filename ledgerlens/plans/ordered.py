@@ -146,6 +146,19 @@ def moving(
     return framed.filter(F.col("__block") == F.col("__home")).select(*df.columns, *columns)
 
 
+def _nearest(value: str, by, order: str) -> tuple[Column, Column]:
+    """Last known value up to the row, and first one from it on.
+
+    Both frames run from the start of their own order, so that each row is visited once; a
+    frame that ends at the end of the group would be evaluated anew for every row.
+    """
+    upto = (W.unboundedPreceding, 0)
+    return (
+        F.last(value, True).over(by.orderBy(order).rowsBetween(*upto)),
+        F.last(value, True).over(by.orderBy(F.desc(order)).rowsBetween(*upto)),
+    )
+
+
 def neighbours(
     df: DataFrame,
     value: str,
@@ -163,14 +176,11 @@ def neighbours(
         F.col(value).isNotNull(), F.struct(F.col("__pos").alias("p"), F.col(value).alias("v"))
     )
     if not split:
-        by = W.partitionBy(*partition_by).orderBy(*order_by)
-        rows = df.withColumn("__pos", F.row_number().over(by).cast("long") - 1)
-        rows = rows.withColumn("__known", known)
-        return rows.withColumn(
-            "__prev", F.last("__known", True).over(by.rowsBetween(W.unboundedPreceding, 0))
-        ).withColumn(
-            "__next", F.first("__known", True).over(by.rowsBetween(0, W.unboundedFollowing))
-        ).drop("__known")
+        by = W.partitionBy(*partition_by)
+        number = F.row_number().over(by.orderBy(*order_by)).cast("long") - 1
+        rows = df.withColumn("__pos", number).withColumn("__known", known)
+        prev, nxt = _nearest("__known", by, "__pos")
+        return rows.withColumn("__prev", prev).withColumn("__next", nxt).drop("__known")
     placed = positions(df, "__pos", order_by=order_by, partition_by=partition_by, split=True)
     rows = sliced(placed.withColumn("__known", known), partition_by, ["__pos"])
     rows = _carry(
@@ -182,9 +192,7 @@ def neighbours(
             "__after": lambda w: F.first("__lo", True).over(w.rowsBetween(1, W.unboundedFollowing)),
         },
     )
-    by = W.partitionBy(*partition_by, SLICE).orderBy("__pos")
-    prev = F.last("__known", True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    nxt = F.first("__known", True).over(by.rowsBetween(0, W.unboundedFollowing))
+    prev, nxt = _nearest("__known", W.partitionBy(*partition_by, SLICE), "__pos")
     return rows.select(
         *df.columns,
         "__pos",

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("revenue", "products", "retention", "anomalies")
+MODULES = ("revenue", "products", "retention", "anomalies", "cleaning", "quality", "catalog", "kpis", "storage")
 
 
 def load_all() -> None:
