@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -58,3 +60,14 @@ def exact_avg(c: Column) -> Column:
 
 def rounded(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
+
+
+def scaled(c: Column, scale: int = 2) -> Column:
+    """A double amount as a whole number of its smallest unit, e.g. cents."""
+    return F.rint(c * F.lit(10.0**scale)).cast("long")
+
+
+def from_scaled(units: Column, scale: int) -> Column:
+    """Whole units back to an exact decimal of 18 digits; cheaper than casting each double."""
+    step = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale},{scale})")
+    return (units.cast(f"decimal({17 - scale},0)") * step).cast(f"decimal(18,{scale})")

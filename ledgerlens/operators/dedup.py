@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.numeric import percent, require_columns
 from ledgerlens.plans.groups import ROWS, attach
+from ledgerlens.plans.ordered import fits_one_task
 
 KEEP = ("first", "last", False)
 
@@ -58,12 +59,19 @@ def drop_duplicates(
 
 
 def _with_groups(df: DataFrame, keys: list[str], order: list[str], keep) -> DataFrame:
-    """Each row with the size of its group and, for first and last, the group's kept position."""
-    stats = [F.count(F.lit(1)).alias(ROWS)]
+    """Each row with the size of its group and, for first and last, the group's kept position.
+
+    One shuffle and a window while every group fits a task; otherwise the groups are
+    aggregated map-side and joined back.
+    """
+    stats = {ROWS: F.count(F.lit(1))}
     if keep is not False and order:
         pick = F.max if keep == "last" else F.min
-        stats.append(pick(F.struct(*order)).alias("__kept"))
-    return attach(df, df.groupBy(*keys).agg(*stats), keys)
+        stats["__kept"] = pick(F.struct(*order))
+    if fits_one_task(df, keys):
+        over = W.partitionBy(*keys)
+        return df.select("*", *[c.over(over).alias(n) for n, c in stats.items()])
+    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
 def _is_duplicate(order: list[str], keep) -> Column:

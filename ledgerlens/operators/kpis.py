@@ -97,21 +97,27 @@ def trend(now: Column, before: Column) -> Column:
     return F.when(now > before, "up").when(now < before, "down").otherwise("stable")
 
 
-def financial_kpis(performance: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
-    """Revenue, profit, margin, cost, mean margin, mean ROI; changes from a comparison table."""
-    one = performance.agg(
+def _performance_totals(performance: DataFrame) -> DataFrame:
+    """Every total and mean the KPIs of products need, in one pass."""
+    require_columns(performance, *REQUIRED)
+    measures = [
         exact_sum("total_revenue").alias("r"),
         exact_sum("total_profit").alias("p"),
         F.avg("profit_margin").alias("m"),
         F.avg("roi").alias("roi"),
-    )
-    change = {"revenue": F.lit(None), "profit": F.lit(None)}
-    if comparison is not None:
-        table = comparison.agg(
-            *[F.max(F.when(F.col("measure") == k, F.col("change"))).alias(k) for k in change]
-        )
-        one = one.withColumn("__c", table.select(F.struct(*change)).scalar())
-        change = {k: F.col("__c")[k] for k in change}
+        F.sum("transaction_count").alias("n"),
+        F.sum("total_quantity").alias("q"),
+        F.avg("return_rate").alias("ret"),
+        F.count(F.lit(1)).alias("products"),
+        F.count_if(F.col("roi") > 100).alias("high"),
+    ]
+    if "market_share" in performance.columns:
+        measures.append(F.avg("market_share").alias("share"))
+    return performance.agg(*measures)
+
+
+def _financial_rows(change: dict[str, Column] | None = None) -> list[Column]:
+    change = change or {"revenue": F.lit(None), "profit": F.lit(None)}
 
     def moved(k):
         c = change[k].cast("double")
@@ -121,7 +127,7 @@ def financial_kpis(performance: DataFrame, comparison: DataFrame | None = None)
     r_trend, r_status = moved("revenue")
     p_trend, p_status = moved("profit")
     margin = percent(F.col("p"), F.col("r"), 0.0)
-    rows = [
+    return [
         _kpi("financial", "revenue", F.col("r"), "USD", change["revenue"], r_trend, r_status),
         _kpi("financial", "profit", F.col("p"), "USD", change["profit"], p_trend, p_status),
         _kpi("financial", "profit_margin", margin, "%",
@@ -130,43 +136,48 @@ def financial_kpis(performance: DataFrame, comparison: DataFrame | None = None)
         _kpi("financial", "gross_margin", F.col("m"), "%", status="healthy"),
         _kpi("financial", "roi", F.col("roi"), "%", status="healthy"),
     ]
-    return _long(one, rows)
 
 
-def operational_kpis(performance: DataFrame) -> DataFrame:
-    one = performance.agg(
-        F.sum("transaction_count").alias("n"),
-        F.sum("total_quantity").alias("q"),
-        exact_sum("total_revenue").alias("r"),
-        F.avg("return_rate").alias("ret"),
-    )
-    return _long(
-        one,
-        [
-            _kpi("operational", "transactions", F.col("n"), "count", status="healthy"),
-            _kpi("operational", "units_sold", F.col("q"), "units", status="healthy"),
-            _kpi("operational", "avg_transaction_value", ratio(F.col("r"), F.col("n"), 0.0), "USD", status="healthy"),
-            _kpi("operational", "return_rate", F.col("ret"), "%", status="healthy"),
-        ],
+def _operational_rows() -> list[Column]:
+    value = ratio(F.col("r"), F.col("n"), 0.0)
+    return [
+        _kpi("operational", "transactions", F.col("n"), "count", status="healthy"),
+        _kpi("operational", "units_sold", F.col("q"), "units", status="healthy"),
+        _kpi("operational", "avg_transaction_value", value, "USD", status="healthy"),
+        _kpi("operational", "return_rate", F.col("ret"), "%", status="healthy"),
+    ]
+
+
+def _product_rows() -> list[Column]:
+    return [
+        _kpi("product", "total_products", F.col("products"), "count"),
+        _kpi("product", "high_performers", F.col("high"), "count", status="healthy"),
+        _kpi("product", "avg_product_revenue", ratio(F.col("r"), F.col("products")), "USD", status="healthy"),
+        _kpi("product", "avg_market_share", F.col("share"), "%", status="healthy"),
+    ]
+
+
+def financial_kpis(performance: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
+    """Revenue, profit, margin, cost, mean margin, mean ROI; changes from a comparison table."""
+    one = _performance_totals(performance)
+    if comparison is None:
+        return _long(one, _financial_rows())
+    names = ("revenue", "profit")
+    table = comparison.agg(
+        *[F.max(F.when(F.col("measure") == k, F.col("change"))).alias(k) for k in names]
     )
+    one = one.withColumn("__c", table.select(F.struct(*names)).scalar())
+    return _long(one, _financial_rows({k: F.col("__c")[k] for k in names}))
+
+
+def operational_kpis(performance: DataFrame) -> DataFrame:
+    """Transactions, units, transaction value, mean return rate."""
+    return _long(_performance_totals(performance), _operational_rows())
 
 
 def product_kpis(performance: DataFrame) -> DataFrame:
-    one = performance.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("roi") > 100).alias("high"),
-        exact_sum("total_revenue").alias("r"),
-        F.avg("market_share").alias("share"),
-    )
-    return _long(
-        one,
-        [
-            _kpi("product", "total_products", F.col("n"), "count"),
-            _kpi("product", "high_performers", F.col("high"), "count", status="healthy"),
-            _kpi("product", "avg_product_revenue", ratio(F.col("r"), F.col("n")), "USD", status="healthy"),
-            _kpi("product", "avg_market_share", F.col("share"), "%", status="healthy"),
-        ],
-    )
+    """Products, high performers, mean revenue and mean share."""
+    return _long(_performance_totals(performance), _product_rows())
 
 
 def sales_kpis(sales: DataFrame, amount_column: str) -> DataFrame:
@@ -339,14 +350,7 @@ def apply_rules(kpis: DataFrame, rules: Sequence[tuple] = INSIGHTS) -> DataFrame
 
 
 def dashboard(performance: DataFrame, sales: DataFrame, amount_column: str) -> DataFrame:
-    """Financial, operational, product and sales KPIs in one table."""
-    parts = [
-        financial_kpis(performance),
-        operational_kpis(performance),
-        product_kpis(performance),
-        sales_kpis(sales, amount_column),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Financial, operational, product and sales KPIs in one table, one pass over each source."""
+    rows = [*_financial_rows(), *_operational_rows(), *_product_rows()]
+    blocks = _long(_performance_totals(performance), rows)
+    return blocks.unionByName(sales_kpis(sales, amount_column))

@@ -55,8 +55,9 @@ def attach(
     """Left-join ``stats`` (one row per key, group size in column ``rows``) to the rows.
 
     Few groups: a broadcast join, after the number of groups was checked; the rows do not move.
-    Many groups: the hot groups, whose number is bounded by their size, are broadcast to their
-    rows, which stay where they are; only the rows of the other groups are shuffled.
+    Many groups: a shuffle join, unless some group turns out to be hot. Then the hot groups,
+    whose number is bounded by their size, are broadcast to their rows, which stay where they
+    are, and only the rows of the other groups are shuffled.
     """
     keys = list(keys)
     values = [c for c in stats.columns if c not in keys]
@@ -65,6 +66,8 @@ def attach(
     if small:
         return null_safe_join(df, F.broadcast(stats), keys, "left")
 
+    if largest_group(df, keys) <= hot_rows:
+        return null_safe_join(df, stats, keys, "left")
     hot = F.broadcast(stats.filter(F.col(rows) > hot_rows))
     cold = stats.filter(F.col(rows) <= hot_rows)
     in_hot = null_safe_join(df, hot, keys, "inner")

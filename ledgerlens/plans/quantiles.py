@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.plans.groups import attach, few_groups
+from ledgerlens.plans.groups import TASK_ROWS, attach, few_groups
 from ledgerlens.plans.ordered import running_sum
 
-# Distinct values of one group that the built-in percentile may keep in memory.
-DISTINCT_VALUES = 1_000_000
+# Distinct values of one group up to which the built-in percentile, which holds them in a map
+# per task, is the fastest plan.
+DISTINCT_VALUES = 20_000
 
 
-def few_values(df: DataFrame, values: Sequence[str], group_by: Sequence[str] = ()) -> bool:
-    """Whether no group has more distinct values than percentile may hold; sketches only."""
+def most_values(df: DataFrame, values: Sequence[str], group_by: Sequence[str] = ()) -> int:
+    """About how many distinct values the largest group has; sketches, no shuffle of rows."""
     sketches = [F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)]
     per_group = df.groupBy(*group_by).agg(*sketches)
     worst = per_group.agg(*[F.max(f"d{i}") for i in range(len(values))]).first()
-    return max([n or 0 for n in worst], default=0) <= DISTINCT_VALUES
+    return max([n or 0 for n in worst], default=0)
 
 
 def _between(lo: Column, hi: Column, position: float | Column, low: Column, high: Column) -> Column:
@@ -36,21 +37,22 @@ def quantiles(
 ) -> DataFrame:
     """One row per group (one row in all without ``group_by``) with the named quantiles.
 
-    ``wanted`` maps an output name to (column, probability). Values with few distinct values
-    go to the built-in percentile; otherwise they are counted per distinct value, the counts
-    are summed in order over range slices, and the values at the wanted ranks are picked.
+    ``wanted`` maps an output name to (column, probability). Columns with few distinct values
+    go to the built-in percentile. Otherwise the rows are counted per distinct value, the
+    counts are summed in order, and the values at the wanted ranks are picked; the sum in order
+    is a window while one task can sort a group's distinct values, and split beyond that.
     """
     columns = sorted({c for c, _ in wanted.values()})
+    by_column = {c: {n: p for n, (k, p) in wanted.items() if k == c} for c in columns}
     if split is None:
-        split = not few_values(df, columns, group_by)
-    if not split:
-        return df.groupBy(*group_by).agg(
-            *[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        )
+        size = most_values(df, columns, group_by)
+        if size <= DISTINCT_VALUES:
+            return _built_in(df, by_column, group_by).select(*group_by, *wanted)
+        split = size > TASK_ROWS
     result = None
     for column in columns:
-        names = {n: p for n, (c, p) in wanted.items() if c == column}
-        part = _ranked(df, column, names, list(group_by))
+        names = by_column[column]
+        part = _ranked(df, column, names, list(group_by), split)
         if result is None:
             result = part
         elif group_by:
@@ -65,12 +67,25 @@ def quantiles(
     return result.select(*group_by, *wanted)
 
 
-def _ranked(df: DataFrame, column: str, names: dict[str, float], group_by: list[str]) -> DataFrame:
+def _built_in(df: DataFrame, by_column: dict[str, dict[str, float]], group_by: Sequence[str]) -> DataFrame:
+    lists = [
+        F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in names.values()])).alias(f"__p{i}")
+        for i, (c, names) in enumerate(by_column.items())
+    ]
+    picks = [
+        F.col(f"__p{i}")[j].alias(n) for i, names in enumerate(by_column.values()) for j, n in enumerate(names)
+    ]
+    return df.groupBy(*group_by).agg(*lists).select(*group_by, *picks)
+
+
+def _ranked(
+    df: DataFrame, column: str, names: dict[str, float], group_by: list[str], split: bool
+) -> DataFrame:
     value = F.col(column).cast("double").alias("__value")
     known = df.select(*group_by, value).filter(F.col("__value").isNotNull())
     counts = known.groupBy(*group_by, "__value").agg(F.count(F.lit(1)).alias("__n"))
     upto = running_sum(
-        counts, "__n", "__upto", order_by=["__value"], partition_by=group_by, split=True
+        counts, "__n", "__upto", order_by=["__value"], partition_by=group_by, split=split
     )
     if group_by:
         sizes = counts.groupBy(*group_by).agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlens.functions.numeric import from_scaled, scaled
 from ledgerlens.plans.groups import lookup
 
 
@@ -17,24 +18,21 @@ def sales_fact(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("product"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("category"),
-        F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
+        scaled(F.col("p_retailprice")).alias("cents"),
     )
     item = table(spark, folder, "lineitem")
-    net = F.col("l_extendedprice").cast("decimal(12,2)") * (
-        F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)")
-    )
+    net = scaled(F.col("l_extendedprice")) * (F.lit(100) - scaled(F.col("l_discount")))
     lines = item.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("product"),
         F.col("l_quantity").cast("long").alias("quantity"),
-        net.cast("decimal(18,4)").alias("revenue"),
+        from_scaled(net, 4).alias("revenue"),
         (F.col("l_returnflag") == "R").alias("is_returned"),
         F.col("l_shipdate").alias("sale_date"),
     )
     joined = lookup(lines, part, ["product"])
-    cost = (F.col("quantity").cast("decimal(6,0)") * F.col("price")).cast("decimal(18,2)")
-    return joined.withColumn("cost", cost).drop("price")
+    return joined.withColumn("cost", from_scaled(F.col("quantity") * F.col("cents"), 2)).drop("cents")
 
 
 SALES = """
@@ -54,7 +52,7 @@ def order_sales(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("order_date"),
-        F.col("o_totalprice").cast("decimal(14,2)").alias("total_amount"),
+        from_scaled(scaled(F.col("o_totalprice")), 2).alias("total_amount"),
     )
 
 
