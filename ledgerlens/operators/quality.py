@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlens.functions.numeric import percent, require_columns
+from ledgerlens.plans.groups import ROWS, attach
 
 
 def _as_text(df: DataFrame, column: str) -> Column:
@@ -229,19 +230,23 @@ def unique_violations(df: DataFrame, columns: Sequence[str], rule: str = "unique
 def orphans(df: DataFrame, foreign_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose key has no parent; a null key is free.
 
-    The missing keys are found on the distinct keys, so a key that most rows share is one row
-    there; the rows are then matched against the missing keys only.
+    Which keys lack a parent is found on the distinct keys, so a key that most rows share is
+    one row there; the answer is then attached to the rows, hot keys by broadcast.
     """
-    keys = df.select(foreign_key).filter(F.col(foreign_key).isNotNull()).distinct()
-    missing = keys.join(parent.select(F.col(parent_key).alias(foreign_key)), foreign_key, "left_anti")
-    return df.join(missing, foreign_key, "left_semi").select(*df.columns)
+    return _by_parent(df, foreign_key, parent, parent_key, "left_anti")
 
 
 def valid_references(df: DataFrame, foreign_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose key has a parent."""
-    return df.join(parent.select(F.col(parent_key).alias(foreign_key)), foreign_key, "left_semi").select(
-        *df.columns
-    )
+    return _by_parent(df, foreign_key, parent, parent_key, "left_semi")
+
+
+def _by_parent(df: DataFrame, foreign_key: str, parent: DataFrame, parent_key: str, how: str) -> DataFrame:
+    require_columns(df, foreign_key)
+    require_columns(parent, parent_key)
+    keys = df.filter(F.col(foreign_key).isNotNull()).groupBy(foreign_key).agg(F.count(F.lit(1)).alias(ROWS))
+    wanted = keys.join(parent.select(F.col(parent_key).alias(foreign_key)), foreign_key, how)
+    return attach(df, wanted, [foreign_key]).filter(F.col(ROWS).isNotNull()).select(*df.columns)
 
 
 # The states and limits of the data catalogue's tables.

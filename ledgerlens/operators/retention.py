@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.numeric import percent, require_columns, rounded
 from ledgerlens.functions.periods import check_period, period_name, period_ordinal, period_start
+from ledgerlens.plans.quantiles import quantiles
 
 METHODS = ("cohort", "simple", "rolling", "n_day")
 # The days reported by n-day retention.
@@ -255,16 +256,12 @@ def retention_rate(table: DataFrame) -> DataFrame:
 
 
 def retention_report(table: DataFrame, log: DataFrame, method: str) -> DataFrame:
-    """One row: users, records, date range of the log and spread of the rates.
-
-    The table has one row per cohort or period, so its median is taken directly.
-    """
+    """One row: users, records, date range of the log and spread of the rates."""
     names = _rate_columns(table)
     ids = [c for c in table.columns if c in ("cohort_period", "cohort_date", "period", "start_period")]
     rates = table.unpivot(ids, names, "offset", "rate").filter(F.col("rate").isNotNull())
     spread = rates.agg(
         F.avg("rate").alias("average_retention"),
-        F.median("rate").alias("median_retention"),
         F.min("rate").alias("min_retention"),
         F.max("rate").alias("max_retention"),
         F.stddev_pop("rate").alias("std_retention"),
@@ -281,8 +278,10 @@ def retention_report(table: DataFrame, log: DataFrame, method: str) -> DataFrame
         ).alias("w")
     )
     cohorts = table.agg(F.count(F.lit(1)).alias("cohort_count"))
+    middle = quantiles(rates, {"m": ("rate", 0.5)})
     return (
         spread.withColumn("w", whole.scalar())
+        .withColumn("median_retention", middle.scalar())
         .withColumn("cohort_count", cohorts.scalar())
         .select(
             F.lit(method).alias("method"),

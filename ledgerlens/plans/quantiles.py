@@ -1,31 +1,22 @@
-"""Exact interpolated quantiles without holding a group's values in one task."""
+"""Exact interpolated quantiles without sorting or holding a group's values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ledgerlens.plans.groups import TASK_ROWS, attach, few_groups
+from ledgerlens.plans.groups import ROWS, attach, few_groups, largest_group, null_safe_join
 from ledgerlens.plans.ordered import running_sum
 
-# Distinct values of one group up to which the built-in percentile, which holds them in a map
-# per task, is the fastest plan.
-DISTINCT_VALUES = 20_000
-
-
-def most_values(df: DataFrame, values: Sequence[str], group_by: Sequence[str] = ()) -> int:
-    """About how many distinct values the largest group has; sketches, no shuffle of rows."""
-    sketches = [F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)]
-    per_group = df.groupBy(*group_by).agg(*sketches)
-    worst = per_group.agg(*[F.max(f"d{i}") for i in range(len(values))]).first()
-    return max([n or 0 for n in worst], default=0)
-
-
-def _between(lo: Column, hi: Column, position: float | Column, low: Column, high: Column) -> Column:
-    return F.when((low == high) | (lo == hi), lo).otherwise(
-        (high - position) * lo + (position - low) * hi
-    )
+# Rows of one group up to which the built-in percentile, which holds them in a map, is the plan.
+SMALL_GROUP = 50_000
+# Sketch accuracy: a sketched quantile is off by at most 1 / ACCURACY of the ranks. Brackets
+# reach MARGIN times as far to both sides, so that they hold the wanted ranks for sure.
+ACCURACY = 10_000
+MARGIN = 4
+# Rows of one group up to which a bracket's distinct values fit one task.
+BRACKET_ROWS = 1_000_000_000
 
 
 def quantiles(
@@ -33,32 +24,30 @@ def quantiles(
     wanted: dict[str, tuple[str, float]],
     group_by: Sequence[str] = (),
     *,
-    split: bool | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """One row per group (one row in all without ``group_by``) with the named quantiles.
 
-    ``wanted`` maps an output name to (column, probability). Columns with few distinct values
-    go to the built-in percentile. Otherwise the rows are counted per distinct value, the
-    counts are summed in order, and the values at the wanted ranks are picked; the sum in order
-    is a window while one task can sort a group's distinct values, and split beyond that.
+    ``wanted`` maps an output name to (column, probability). Small groups go to the built-in
+    percentile. Otherwise a sketch gives a narrow bracket of values around each wanted rank;
+    a second pass counts the rows between the brackets and, per distinct value, those inside,
+    and the counts summed in order lead to the exact values. Only the rows inside the brackets,
+    about one in a thousand, are told apart. ``plan`` forces small, bracket or split.
     """
     columns = sorted({c for c, _ in wanted.values()})
     by_column = {c: {n: p for n, (k, p) in wanted.items() if k == c} for c in columns}
-    if split is None:
-        size = most_values(df, columns, group_by)
-        if size <= DISTINCT_VALUES:
-            return _built_in(df, by_column, group_by).select(*group_by, *wanted)
-        split = size > TASK_ROWS
+    if plan is None:
+        rows = largest_group(df, group_by)
+        plan = "small" if rows <= SMALL_GROUP else "bracket" if rows <= BRACKET_ROWS else "split"
+    if plan == "small":
+        return _built_in(df, by_column, group_by).select(*group_by, *wanted)
     result = None
-    for column in columns:
-        names = by_column[column]
-        part = _ranked(df, column, names, list(group_by), split)
+    for column, names in by_column.items():
+        part = _bracketed(df, column, names, list(group_by), plan == "split")
         if result is None:
             result = part
         elif group_by:
-            joined = part.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_by)], *names)
-            cond = [result[g].eqNullSafe(joined[f"__g{i}"]) for i, g in enumerate(group_by)]
-            result = result.join(joined, cond, "left").drop(*[f"__g{i}" for i in range(len(group_by))])
+            result = null_safe_join(result, part, list(group_by), "left")
         else:
             one = part.select(F.struct(*names).alias("s"))
             result = result.withColumn("__q", one.scalar()).select(
@@ -78,23 +67,72 @@ def _built_in(df: DataFrame, by_column: dict[str, dict[str, float]], group_by: S
     return df.groupBy(*group_by).agg(*lists).select(*group_by, *picks)
 
 
-def _ranked(
+def _between(low: Column, high: Column, position: Column) -> Column:
+    """Interpolate between the values at the ranks around a fractional position."""
+    down, up = F.floor(position), F.ceil(position)
+    return F.when((low == high) | (down == up), low).otherwise(
+        (up - position) * low + (position - down) * high
+    )
+
+
+def _bracketed(
     df: DataFrame, column: str, names: dict[str, float], group_by: list[str], split: bool
 ) -> DataFrame:
     value = F.col(column).cast("double").alias("__value")
     known = df.select(*group_by, value).filter(F.col("__value").isNotNull())
-    counts = known.groupBy(*group_by, "__value").agg(F.count(F.lit(1)).alias("__n"))
-    upto = running_sum(
-        counts, "__n", "__upto", order_by=["__value"], partition_by=group_by, split=split
+    probs = sorted(set(names.values()))
+    reach = MARGIN / ACCURACY
+    edges = [e for p in probs for e in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    # A group of few rows is taken whole: its brackets would be narrower than one rank.
+    whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
+    sketch = (
+        F.when(F.count(F.lit(1)) <= SMALL_GROUP, whole)
+        .otherwise(F.percentile_approx("__value", edges, ACCURACY))
+        .alias("__edges")
     )
     if group_by:
+        small = few_groups(known, group_by)
+        brackets = known.groupBy(*group_by).agg(sketch, F.count(F.lit(1)).alias(ROWS))
+        rows = attach(known, brackets, group_by, small=small).drop(ROWS)
+    else:
+        rows = known.withColumn("__edges", known.agg(sketch).scalar())
+
+    # Rows in the order of their segment: those inside a bracket first, by value, then the
+    # rest up to the next bracket as one count.
+    v = F.col("__value")
+    k = len(probs)
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(k):
+        lo, hi = F.col("__edges")[2 * i], F.col("__edges")[2 * i + 1]
+        inside = inside | ((v >= lo) & (v <= hi))
+        passed = passed + F.when(v >= lo, 1).otherwise(0)
+    counts = (
+        rows.select(
+            *group_by,
+            passed.alias("__segment"),
+            F.when(inside, 0).otherwise(1).alias("__rest"),
+            F.when(inside, v).alias("__value"),
+        )
+        .groupBy(*group_by, "__segment", "__rest", "__value")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    upto = running_sum(
+        counts,
+        "__n",
+        "__upto",
+        order_by=["__segment", "__rest", "__value"],
+        partition_by=group_by,
+        split=split,
+    )
+    if not split:
+        upto = upto.withColumn("__all", F.sum("__n").over(W.partitionBy(*group_by)))
+    elif group_by:
         sizes = counts.groupBy(*group_by).agg(
-            F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__rows")
+            F.sum("__n").alias("__all"), F.count(F.lit(1)).alias(ROWS)
         )
-        upto = attach(upto, sizes, group_by, small=few_groups(df, group_by))
+        upto = attach(upto, sizes, group_by, small=small).drop(ROWS)
     else:
-        total = counts.agg(F.sum("__n").alias("__all"))
-        upto = upto.withColumn("__all", total.scalar())
+        upto = upto.withColumn("__all", known.agg(F.count(F.lit(1)).alias("n")).scalar())
 
     def at(rank: Column) -> Column:
         here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
@@ -103,15 +141,15 @@ def _ranked(
     picks = []
     for i, p in enumerate(names.values()):
         pos = (F.col("__all") - 1) * F.lit(p)
-        picks += [
-            at(F.floor(pos)).alias(f"__lo{i}"),
-            at(F.ceil(pos)).alias(f"__hi{i}"),
-        ]
+        picks += [at(F.floor(pos)).alias(f"__lo{i}"), at(F.ceil(pos)).alias(f"__hi{i}")]
     picked = upto.groupBy(*group_by).agg(F.max("__all").alias("__all"), *picks)
     out = []
     for i, (name, p) in enumerate(names.items()):
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        missed = (F.col("__all") > 0) & (low.isNull() | high.isNull())
         pos = (F.col("__all") - 1) * F.lit(p)
-        out.append(
-            _between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), pos, F.floor(pos), F.ceil(pos)).alias(name)
-        )
+        exact = F.when(
+            missed, F.raise_error(F.lit(f"quantile {p} of {column} lies outside its bracket")).cast("double")
+        ).otherwise(_between(low, high, pos))
+        out.append(exact.alias(name))
     return picked.select(*group_by, *out)

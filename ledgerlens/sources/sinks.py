@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ledgerlens.functions.numeric import require_columns
-from ledgerlens.operators.cleaning import null_counts, process_upload
+from ledgerlens.operators.cleaning import process_upload
 from ledgerlens.operators.quality import upload_report
 from ledgerlens.sources import files
 from ledgerlens.sources.readers import detect_format, read_table
@@ -16,14 +16,12 @@ from ledgerlens.sources.readers import detect_format, read_table
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
-def check_for_save(df: DataFrame) -> list[str]:
-    """Raise for an empty table or repeated names; return the columns without any value."""
+def check_for_save(df: DataFrame) -> None:
+    """Raise for repeated column names and for an empty table."""
     if len(set(df.columns)) < len(df.columns):
         raise ValueError(f"repeated column names: {df.columns}")
-    rows, nulls = null_counts(df)
-    if rows == 0:
+    if df.isEmpty():
         raise ValueError("the table has no rows")
-    return [c for c, n in nulls.items() if n == rows]
 
 
 def run_stamp() -> str:
@@ -48,10 +46,19 @@ def save_table(
     unless a compression is given, Parquet uses snappy.
     """
     kind = detect_format("", file_format)
-    empty = check_for_save(df) if validate else []
+    if validate:
+        check_for_save(df)
     stem = f"{name}_{run_stamp()}" if include_timestamp else name
     path = f"{folder}/{stem}.{kind}"
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    # Rows and values per column are counted while they are written.
+    seen = Observation()
+    counted = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)],
+    )
+    mode = "overwrite" if overwrite else "errorifexists"
+    writer = counted.write.mode(mode)
     if kind == "parquet":
         writer.option("compression", compression or "snappy").parquet(path)
     elif kind == "json":
@@ -61,33 +68,30 @@ def save_table(
         writer.options(
             header=True, sep=sep, quote='"', escape='"', compression=compression or "none"
         ).csv(path)
-    sidecar(df, path, kind, stem, folder, metadata, empty, overwrite)
+    found = seen.get
+    empty = [c for i, c in enumerate(df.columns) if found[f"n{i}"] == 0]
+    sidecar(df, path, kind, found["rows"], empty, metadata).coalesce(1).write.mode(mode).json(
+        f"{folder}/{stem}{files.SIDECAR}"
+    )
     return path
 
 
 def sidecar(
-    df: DataFrame, path: str, kind: str, stem: str, folder: str, metadata: dict | None, empty: list[str], overwrite: bool
-) -> None:
-    """One JSON row beside the data: rows, columns, types, size, time, user entries."""
-    spark = df.sparkSession
-    written = files.list_files(spark, path).agg(
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"), F.count(F.lit(1)).alias("files")
-    )
-    reread = read_back(spark, path, kind, df.schema)
-    row = reread.agg(F.count(F.lit(1)).alias("rows"))
-    out = row.select(
+    df: DataFrame, path: str, kind: str, rows: int, empty: list[str], metadata: dict | None
+) -> DataFrame:
+    """The metadata row of a saved table: rows, columns, types, size, time, user entries."""
+    written = files.list_files(df.sparkSession, path)
+    return written.agg(
         F.lit(path).alias("path"),
         F.lit(kind).alias("format"),
-        "rows",
+        F.lit(rows).cast("long").alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
         F.lit(json.dumps(dict(df.dtypes))).alias("dtypes"),
         F.lit(",".join(empty)).alias("all_null_columns"),
-        written.select("size_bytes").scalar().alias("size_bytes"),
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"),
         F.current_timestamp().alias("saved_at"),
         F.lit(json.dumps(metadata or {})).alias("metadata"),
     )
-    mode = "overwrite" if overwrite else "errorifexists"
-    out.coalesce(1).write.mode(mode).json(f"{folder}/{stem}{files.SIDECAR}")
 
 
 def read_back(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
@@ -98,24 +102,33 @@ def read_back(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
     return read_table(spark, path, kind, schema, **options)
 
 
-def content_mark(df: DataFrame) -> DataFrame:
-    """Rows and an order-free hash of all cells: equal for equal bags of rows, almost surely."""
+def _marks(df: DataFrame) -> list[Column]:
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor_mark"),
         # Copies cancel in the xor but not in the sum.
         F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("sum_mark"),
-    )
+    ]
+
+
+def content_mark(df: DataFrame) -> DataFrame:
+    """Rows and order-free hashes of all cells: equal for equal bags of rows, almost surely."""
+    return df.agg(*_marks(df))
 
 
 def land_verified(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Write a Parquet copy, read it back and compare; raise when the contents differ."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    """Write a Parquet copy, read it back and compare; raise when the contents differ.
+
+    The source is marked while it is written, so it is read once.
+    """
+    seen = Observation()
+    marked = df.observe(seen, *_marks(df))
+    marked.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     copy = df.sparkSession.read.schema(df.schema).parquet(path)
-    before, after = content_mark(df).first(), content_mark(copy).first()
-    if before != after:
-        raise IOError(f"copy at {path} differs from its source: {before} and {after}")
+    after = content_mark(copy).first().asDict()
+    if seen.get != after:
+        raise IOError(f"copy at {path} differs from its source: {seen.get} and {after}")
     return copy
 
 

@@ -76,11 +76,23 @@ def test_fills(rows, how, by):
 
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_quantiles(rows, by):
-    wanted = {"q1": ("v", 0.25), "med": ("v", 0.5), "q9": ("v", 0.9), "im": ("id", 0.5)}
-    a = quantiles(rows, wanted, by, split=False)
-    b = quantiles(rows, wanted, by, split=True)
-    assert a.columns == b.columns
-    assert pairs(a, "*") == pairs(b, "*")
+    wanted = {"q1": ("v", 0.25), "med": ("v", 0.5), "q9": ("v", 0.9), "im": ("id", 0.5), "lo": ("id", 0.0)}
+    a = quantiles(rows, wanted, by, plan="small")
+    for plan in ("bracket", "split"):
+        b = quantiles(rows, wanted, by, plan=plan)
+        assert a.columns == b.columns
+        assert pairs(a, "*") == pairs(b, "*")
+
+
+def test_quantiles_many_values(spark):
+    df = spark.range(200_000).select((F.pow(F.rand(3), 5) * 1e6).alias("v"), (F.col("id") % 3).alias("g"))
+    df = df.union(spark.range(100_000).select(F.lit(7.0).alias("v"), F.lit(1).cast("long").alias("g")))
+    df = df.unionByName(spark.range(3).select(F.col("id").cast("double").alias("v"), F.lit(9).cast("long").alias("g")))
+    wanted = {f"p{i}": ("v", p) for i, p in enumerate((0.0, 0.001, 0.25, 0.251, 0.5, 0.75, 0.999, 1.0))}
+    for by in ([], ["g"]):
+        assert pairs(quantiles(df, wanted, by, plan="small"), "*") == pairs(
+            quantiles(df, wanted, by, plan="bracket"), "*"
+        )
 
 
 def test_dense_ranks(rows):
