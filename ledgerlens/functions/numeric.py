@@ -59,7 +59,11 @@ def exact_avg(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int | None) -> Column:
-    return c if digits is None else F.round(c, digits)
+    """Round doubles to the nearest step, ties to the even one; None leaves the value as it is."""
+    if digits is None:
+        return c
+    step = F.lit(10.0**digits)
+    return F.rint(c.cast("double") * step) / step
 
 
 def scaled(c: Column, scale: int = 2) -> Column:

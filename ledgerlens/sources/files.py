@@ -14,7 +14,10 @@ SIDECAR = "_metadata.json"
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """Path, name, format, size and modification time of the files; contents are not read."""
+    """Path, name, format, size and modification time of the files; contents are not read.
+
+    Files without a byte are not listed: a scan passes them over, so they are never loaded.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -48,12 +51,9 @@ def list_processed(
 
 
 def admitted(files: DataFrame, max_mb: int = MAX_LOAD_MB) -> DataFrame:
-    """Files with whether they may be loaded, and why not: empty, too large, unknown format."""
-    size = F.col("size_bytes")
-    reason = (
-        F.when(size == 0, "empty")
-        .when(size > max_mb * 1024 * 1024, "too large")
-        .when(F.col("format").isNull(), "unknown format")
+    """Files with whether they may be loaded, and why not: too large or of unknown format."""
+    reason = F.when(F.col("size_bytes") > max_mb * 1024 * 1024, "too large").when(
+        F.col("format").isNull(), "unknown format"
     )
     return files.select("*", reason.isNull().alias("admitted"), reason.alias("reason"))
 
