@@ -6,11 +6,13 @@ The catalogue is a snapshot table. An update gives the next snapshot and the row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.jsonmatch import contains
+from ledgerlens.plans.ordered import moving
 
 
 def _live() -> Column:
@@ -235,16 +237,29 @@ def page_after(df: DataFrame, last_id: int | None, limit: int) -> DataFrame:
     )
 
 
-def test_gaps(df: DataFrame) -> DataFrame:
-    """Hours between successive connection tests of a source."""
-    by = W.partitionBy("id").orderBy("last_connection_test")
+def test_gaps(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+    """Hours between successive connection tests of a source.
+
+    The test before is the first row of a frame of two, so a source with very many tests is
+    worked on in blocks. ``order_by`` orders tests of the same time.
+    """
     rows = df.filter(_live() & F.col("last_connection_test").isNotNull())
+    paired = moving(
+        rows,
+        {
+            "__n": lambda w: F.count(F.lit(1)).over(w),
+            "__prev": lambda w: F.first("last_connection_test").over(w),
+        },
+        1,
+        0,
+        order_by=["last_connection_test", *order_by],
+        partition_by=["id"],
+    )
     return (
-        rows.withColumn("prev", F.lag("last_connection_test").over(by))
-        .filter(F.col("prev").isNotNull())
+        paired.filter(F.col("__n") == 2)
         .select(
             "id", "name", "source_type", "last_connection_status", "last_connection_test",
-            F.round(_hours(F.col("last_connection_test"), F.col("prev")), 2).alias("hours_between_tests"),
+            F.round(_hours(F.col("last_connection_test"), F.col("__prev")), 2).alias("hours_between_tests"),
         )
         .orderBy(F.desc("last_connection_test"), "id")
     )

@@ -13,7 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ledgerlens.plans.groups import largest_group
+from ledgerlens.plans.ordered import running_sum
 from ledgerlens.plans.quantiles import quantiles
+from ledgerlens.session import cut_lineage
 
 TREES = 100
 SAMPLE = 256
@@ -86,14 +89,82 @@ def forest_steps(df: DataFrame, value: str, key: Sequence[str] = ()) -> tuple[np
     return edges, total / max(steps["tree"].nunique(), 1)
 
 
+def group_steps(df: DataFrame, value: str, groups: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Changes of the summed path length (group, edge, change) of one forest per group.
+
+    A large group sends each row to one tree with a probability that leaves about twice the
+    rows a tree takes; a small one offers all rows to all trees.
+    """
+    draw = F.xxhash64(*key) if key else F.xxhash64(F.rand(SEED))
+    rows = df.select(*groups, F.col(value).cast("double").alias("value"), F.col("__size"), draw.alias("h"))
+    enough = TREES * SAMPLE * 2
+    share = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    rows = rows.filter(share < F.lit(float(enough)) / F.col("__size"))
+    tree = F.when(
+        F.col("__size") >= enough, F.array(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(TREES)).cast("int"))
+    ).otherwise(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    drawn = rows.withColumn("tree", F.explode(tree)).withColumn("key", F.xxhash64("h", "tree"))
+    rank = F.row_number().over(W.partitionBy(*groups, "tree").orderBy("key", "value"))
+    taken = drawn.withColumn("r", rank).filter(F.col("r") <= SAMPLE).select(*groups, "tree", "value")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = grow_tree(pdf)
+        out = pd.DataFrame({"edge": steps["edge"], "change": np.diff(steps["depth"], prepend=0.0)})
+        for g in groups:
+            out[g] = pdf[g].iloc[0]
+        return out
+
+    fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+    return taken.groupBy(*groups, "tree").applyInPandas(grow, f"edge double, change double, {fields}")
+
+
+def grouped_scores(df: DataFrame, value: str, scope) -> DataFrame:
+    """Score each row against its group's forest: the summed path length at a value is the
+    running sum of the changes at the edges up to it."""
+    groups, key = scope.group_by, scope.order_by
+    sized = scope.add(df, __size=F.count(F.lit(1)))
+    steps = cut_lineage(group_steps(sized, value, groups, key), "steps")
+    largest = scope.max_group_rows or largest_group(df, groups)
+    line = F.struct(*[F.col(c) for c in df.columns])
+    rows = sized.select(
+        *groups, F.col(value).alias("__x"), F.lit(1).alias("__kind"), F.lit(0.0).alias("__change"),
+        F.col("__size"), line.alias("__line"), F.xxhash64(*df.columns).alias("__tie"),
+    )
+    edges = steps.select(
+        *groups, F.col("edge").alias("__x"), F.lit(0).alias("__kind"), F.col("change").alias("__change"),
+        F.lit(None).cast("long").alias("__size"),
+        F.lit(None).cast(rows.schema["__line"].dataType).alias("__line"),
+        F.xxhash64("edge", "change").alias("__tie"),
+    )
+    summed = running_sum(
+        rows.unionByName(edges),
+        "__change",
+        "__depth",
+        order_by=["__x", "__kind", "__tie"],
+        partition_by=groups,
+        max_group_rows=largest + TREES * (2 * SAMPLE),
+    ).filter(F.col("__kind") == 1)
+    n = F.least(F.col("__size"), F.lit(SAMPLE)).cast("double")
+    norm = (
+        F.when(n <= 1, F.lit(None))
+        .when(n == 2, F.lit(1.0))
+        .otherwise(2 * (F.ln(n - 1) + F.lit(float(np.euler_gamma))) - 2 * (n - 1) / n)
+    )
+    score = F.pow(F.lit(2.0), -(F.col("__depth") / TREES) / norm)
+    scored = summed.select(*[F.col("__line")[c].alias(c) for c in df.columns], score.alias("__score"))
+    return cut_lineage(scored, "scores")
+
+
 def isolation_scores(df: DataFrame, value: str, threshold: float, scope):
     """Rows with their score, and the flag and score columns.
 
     The share of anomalies asked for is threshold / 10, between 1 % and 50 %.
     """
-    if scope.group_by:
-        raise ValueError("isolation works on the whole table; filter a group to score it alone")
     contamination = min(max(threshold / 10, 0.01), 0.5)
+    if scope.group_by:
+        rows = grouped_scores(df, value, scope)
+        rows = scope.add_quantiles(rows, {"__cut": ("__score", 1.0 - contamination)})
+        return rows, F.col("__score") > F.col("__cut"), F.col("__score")
     edges, depths = forest_steps(df, value, scope.order_by)
     norm = _mean_depth(min(SAMPLE, max(df.count(), 2)))
 

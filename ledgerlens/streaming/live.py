@@ -78,10 +78,22 @@ def period_revenue_stream(
     )
 
 
+def append_closed(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each period once it can no longer change; the state holds open periods only."""
+    return (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .outputMode("append")
+        .start(path)
+    )
+
+
 def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the full current result as one snapshot folder per batch, for available data.
 
-    A batch that is repeated replaces its own snapshot.
+    The state holds one row per period and key, as long as the stream's calendar. A batch that
+    is repeated replaces its own snapshot.
     """
 
     def write(batch: DataFrame, number: int) -> None:

@@ -354,3 +354,12 @@ def anomaly_alerts(spark, d):
 @query("anomaly_isolation")
 def anomaly_isolation(spark, d):
     return detect(spark, d, "isolation", 0.5)
+
+
+@query("anomaly_grouped_isolation")
+def anomaly_grouped_isolation(spark, d):
+    """One forest per order priority over all orders."""
+    return A.detect_anomalies(
+        priced_orders(spark, d), "value", "date", "isolation", 0.2, groupby_column="grp",
+        handle_missing_values="drop", order_by=["id"],
+    )

@@ -124,6 +124,21 @@ def test_isolation_finds_planted_values(spark):
     assert out.count() == 602
 
 
+def test_isolation_by_group(spark):
+    rng = np.random.default_rng(2)
+    a = series(spark, list(rng.normal(100, 10, 400)) + [400.0], "a")
+    b = series(spark, list(rng.normal(5, 1, 300)) + [100.0], "b")
+    out = A.detect_anomalies(a.union(b), "value", "date", "isolation", 0.1, groupby_column="grp")
+    flagged = {(r["grp"], r["value"]) for r in out.filter("is_anomaly").collect()}
+    assert {("a", 400.0), ("b", 100.0)} <= flagged
+    assert sum(g == "a" for g, _ in flagged) <= 5 and out.count() == 702
+    # A group scored alone takes the other plan; the samples are the same, so are the trees.
+    alone = A.detect_anomalies(a, "value", "date", "isolation", 0.1)
+    one = {r["date"]: r["anomaly_score"] for r in alone.collect()}
+    for r in out.filter("grp = 'a'").collect():
+        assert r["anomaly_score"] == pytest.approx(one[r["date"]], abs=0.05)
+
+
 def test_tree_steps_cover_the_line():
     import pandas as pd
 

@@ -150,3 +150,16 @@ def test_running_revenue(spark, folder):
     live.keep_latest(live.period_revenue_stream(stream, "v", "ts"), f"{folder}/out", f"{folder}/log").awaitTermination()
     got = live.latest_snapshot(spark, f"{folder}/out").orderBy("period_start").collect()
     assert [(r["total_revenue"], r["count"]) for r in got] == [(12.0, 2), (1.0, 1)]
+
+
+def test_closed_periods_are_appended(spark, folder):
+    first = [("2026-01-01 10:00:00", 5.0), ("2026-01-01 12:00:00", 7.0), ("2026-01-04 10:00:00", 1.0)]
+    schema = "ts timestamp, v double"
+    for part, rows in enumerate((first, [("2026-01-01 11:00:00", 9.0), ("2026-01-06 00:00:00", 2.0)])):
+        df = spark.createDataFrame(rows, "ts string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = live.period_revenue_stream(live.file_stream(spark, f"{folder}/in", "parquet", schema), "v", "ts")
+        live.append_closed(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    got = {str(r["period_start"])[:10]: r["total_revenue"] for r in spark.read.parquet(f"{folder}/out").collect()}
+    # The row of 1 January that came with the second file is later than the watermark allows.
+    assert got["2026-01-01"] == 12.0
