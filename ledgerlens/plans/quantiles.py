@@ -36,14 +36,17 @@ def quantiles(
     """
     columns = sorted({c for c, _ in wanted.values()})
     by_column = {c: {n: p for n, (k, p) in wanted.items() if k == c} for c in columns}
+    brackets: dict[str, tuple[list[float], int]] = {}
+    if not group_by and plan != "small":
+        brackets = _sketched(df, by_column)
     if plan is None:
-        rows = largest_group(df, group_by)
+        rows = max(n for _, n in brackets.values()) if brackets else largest_group(df, group_by)
         plan = "small" if rows <= SMALL_GROUP else "bracket" if rows <= BRACKET_ROWS else "split"
     if plan == "small":
         return _built_in(df, by_column, group_by).select(*group_by, *wanted)
     result = None
     for column, names in by_column.items():
-        part = _bracketed(df, column, names, list(group_by), plan == "split")
+        part = _bracketed(df, column, names, list(group_by), plan == "split", brackets.get(column))
         if result is None:
             result = part
         elif group_by:
@@ -75,27 +78,51 @@ def _between(low: Column, high: Column, position: Column) -> Column:
     )
 
 
+def _edges(names: dict[str, float]) -> list[float]:
+    """Probabilities at the lower and upper end of each wanted one's bracket."""
+    reach = MARGIN / ACCURACY
+    return [e for p in sorted(set(names.values())) for e in (max(p - reach, 0.0), min(p + reach, 1.0))]
+
+
+def _sketched(df: DataFrame, by_column: dict[str, dict[str, float]]) -> dict[str, tuple[list[float], int]]:
+    """Bracket ends and number of values of all columns, by one pass that returns one row."""
+    cells = []
+    for i, (c, names) in enumerate(by_column.items()):
+        v = F.col(c).cast("double")
+        cells += [F.percentile_approx(v, _edges(names), ACCURACY).alias(f"e{i}"), F.count(v).alias(f"n{i}")]
+    row = df.agg(*cells).first()
+    out = {}
+    for i, (c, names) in enumerate(by_column.items()):
+        rows = row[f"n{i}"]
+        whole = [float("-inf"), float("inf")] * len(set(names.values()))
+        out[c] = (whole if rows <= SMALL_GROUP else list(row[f"e{i}"]), rows)
+    return out
+
+
 def _bracketed(
-    df: DataFrame, column: str, names: dict[str, float], group_by: list[str], split: bool
+    df: DataFrame,
+    column: str,
+    names: dict[str, float],
+    group_by: list[str],
+    split: bool,
+    bracket: tuple[list[float], int] | None,
 ) -> DataFrame:
     value = F.col(column).cast("double").alias("__value")
     known = df.select(*group_by, value).filter(F.col("__value").isNotNull())
     probs = sorted(set(names.values()))
-    reach = MARGIN / ACCURACY
-    edges = [e for p in probs for e in (max(p - reach, 0.0), min(p + reach, 1.0))]
-    # A group of few rows is taken whole: its brackets would be narrower than one rank.
-    whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
-    sketch = (
-        F.when(F.count(F.lit(1)) <= SMALL_GROUP, whole)
-        .otherwise(F.percentile_approx("__value", edges, ACCURACY))
-        .alias("__edges")
-    )
-    if group_by:
-        small = few_groups(known, group_by)
-        brackets = known.groupBy(*group_by).agg(sketch, F.count(F.lit(1)).alias(ROWS))
-        rows = attach(known, brackets, group_by, small=small).drop(ROWS)
+    if bracket is not None:
+        rows = known.withColumn("__edges", F.array(*[F.lit(float(e)) for e in bracket[0]]))
     else:
-        rows = known.withColumn("__edges", known.agg(sketch).scalar())
+        # A group of few rows is taken whole: its brackets would be narrower than one rank.
+        whole = F.array(*[F.lit(x) for _ in probs for x in (float("-inf"), float("inf"))])
+        sketch = (
+            F.when(F.count(F.lit(1)) <= SMALL_GROUP, whole)
+            .otherwise(F.percentile_approx("__value", _edges(names), ACCURACY))
+            .alias("__edges")
+        )
+        small = few_groups(known, group_by)
+        ends = known.groupBy(*group_by).agg(sketch, F.count(F.lit(1)).alias(ROWS))
+        rows = attach(known, ends, group_by, small=small).drop(ROWS)
 
     # Rows in the order of their segment: those inside a bracket first, by value, then the
     # rest up to the next bracket as one count.
@@ -124,15 +151,15 @@ def _bracketed(
         partition_by=group_by,
         split=split,
     )
-    if not split:
+    if bracket is not None:
+        upto = upto.withColumn("__all", F.lit(bracket[1]).cast("long"))
+    elif not split:
         upto = upto.withColumn("__all", F.sum("__n").over(W.partitionBy(*group_by)))
-    elif group_by:
+    else:
         sizes = counts.groupBy(*group_by).agg(
             F.sum("__n").alias("__all"), F.count(F.lit(1)).alias(ROWS)
         )
         upto = attach(upto, sizes, group_by, small=small).drop(ROWS)
-    else:
-        upto = upto.withColumn("__all", known.agg(F.count(F.lit(1)).alias("n")).scalar())
 
     def at(rank: Column) -> Column:
         here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
