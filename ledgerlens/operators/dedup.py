@@ -17,6 +17,9 @@ from ledgerlens.plans.groups import ROWS, attach
 from ledgerlens.plans.ordered import fits_one_task
 
 KEEP = ("first", "last", False)
+FLAG = "__duplicate"
+# Copies of one row that one task makes at a time.
+COPIES = 1_000_000
 
 
 def key_columns(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
@@ -58,26 +61,40 @@ def drop_duplicates(
     return by.select(*[fields.get(c, F.col(c)) for c in df.columns])
 
 
-def _with_groups(df: DataFrame, keys: list[str], order: list[str], keep) -> DataFrame:
-    """Each row with the size of its group and, for first and last, the group's kept position.
+def _flagged(df: DataFrame, keys: list[str], order: list[str], keep) -> DataFrame:
+    """Each row with the size of its group and whether dropping with ``keep`` would remove it.
 
-    One shuffle and a window while every group fits a task; otherwise the groups are
-    aggregated map-side and joined back.
+    One shuffle and a window while every group fits a task. Otherwise sizes and the row to keep
+    are aggregated map-side and joined back; there, identical rows are counted as one and
+    told apart again by number at the end.
     """
-    stats = {ROWS: F.count(F.lit(1))}
-    if keep is not False and order:
-        pick = F.max if keep == "last" else F.min
-        stats["__kept"] = pick(F.struct(*order))
     if fits_one_task(df, keys):
-        over = W.partitionBy(*keys)
-        return df.select("*", *[c.over(over).alias(n) for n, c in stats.items()])
-    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
-
-
-def _is_duplicate(order: list[str], keep) -> Column:
-    if keep is False or not order:
-        return F.col(ROWS) > 1
-    return ~F.struct(*order).eqNullSafe(F.col("__kept"))
+        group = W.partitionBy(*keys)
+        rows = df.withColumn(ROWS, F.count(F.lit(1)).over(group))
+        if keep is False:
+            return rows.withColumn(FLAG, F.col(ROWS) > 1)
+        direction = F.desc if keep == "last" else F.asc
+        number = F.row_number().over(group.orderBy(*[direction(c) for c in order or keys]))
+        return rows.withColumn(FLAG, number > 1)
+    if keep is False:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+        return attach(df, sizes, keys).withColumn(FLAG, F.col(ROWS) > 1)
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    position = F.struct(*order) if order else F.lit(0)
+    pick = F.max if keep == "last" else F.min
+    stats = copies.groupBy(*keys).agg(F.sum("__copies").alias(ROWS), pick(position).alias("__kept"))
+    rows = attach(copies, stats, keys, small=False)
+    rows = rows.withColumn("__other", ~position.eqNullSafe(F.col("__kept"))).drop("__kept")
+    return _repeated(rows).withColumn(FLAG, F.col("__other") | (F.col("__number") > 1))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row ``__copies`` times, numbered; very many copies are made by several tasks."""
+    n = F.col("__copies")
+    parts = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES))))
+    spread = parts.repartition(*[F.col(c) for c in rows.columns], F.col("__part"))
+    first = F.col("__part") * COPIES + 1
+    return spread.withColumn("__number", F.explode(F.sequence(first, F.least(n, first + COPIES - 1))))
 
 
 def mark_duplicates(
@@ -89,9 +106,8 @@ def mark_duplicates(
     """Add ``_is_duplicate``: the rows that dropping with the same arguments would remove."""
     _check_keep(keep)
     keys = key_columns(df, subset)
-    order = list(order_by) or _order(df, (), keys)
-    rows = _with_groups(df, keys, order, keep)
-    return rows.select(*df.columns, _is_duplicate(order, keep).alias("_is_duplicate"))
+    rows = _flagged(df, keys, _order(df, order_by, keys), keep)
+    return rows.select(*df.columns, F.col(FLAG).alias("_is_duplicate"))
 
 
 def find_duplicates(
@@ -104,8 +120,7 @@ def find_duplicates(
     """The duplicate rows; ``with_group`` adds the size of each row's group."""
     _check_keep(keep)
     keys = key_columns(df, subset)
-    order = list(order_by) or _order(df, (), keys)
-    rows = _with_groups(df, keys, order, keep).filter(_is_duplicate(order, keep))
+    rows = _flagged(df, keys, _order(df, order_by, keys), keep).filter(FLAG)
     extra = [F.col(ROWS).alias("group_rows")] if with_group else []
     return rows.select(*df.columns, *extra)
 

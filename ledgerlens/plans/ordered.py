@@ -17,6 +17,7 @@ from ledgerlens.plans.groups import TASK_ROWS, largest_group, null_safe_join
 from ledgerlens.session import cut_lineage
 
 SLICE = "__slice"
+EARLIER = (W.unboundedPreceding, -1)
 
 
 def fits_one_task(
@@ -41,7 +42,7 @@ def _carry(
     (group, slice) pair has at most one slice of rows, so the join is even.
     """
     summary = rows.groupBy(*partition_by, SLICE).agg(*[v.alias(k) for k, v in per_slice.items()])
-    over_slices = W.partitionBy(*partition_by).orderBy(SLICE)
+    over_slices = W.partitionBy(*partition_by)
     carry = summary.select(
         *partition_by, SLICE, *[make(over_slices).alias(k) for k, make in carried.items()]
     )
@@ -70,7 +71,7 @@ def running_sum(
         rows,
         partition_by,
         {"__s": F.sum("__v")},
-        {"__before": lambda w: F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, -1))},
+        {"__before": lambda w: F.sum("__s").over(w.orderBy(SLICE).rowsBetween(*EARLIER))},
     )
     frame = (
         W.partitionBy(*partition_by, SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
@@ -188,8 +189,8 @@ def neighbours(
         partition_by,
         {"__lo": F.min("__known"), "__hi": F.max("__known")},
         {
-            "__before": lambda w: F.last("__hi", True).over(w.rowsBetween(W.unboundedPreceding, -1)),
-            "__after": lambda w: F.first("__lo", True).over(w.rowsBetween(1, W.unboundedFollowing)),
+            "__before": lambda w: F.last("__hi", True).over(w.orderBy(SLICE).rowsBetween(*EARLIER)),
+            "__after": lambda w: F.last("__lo", True).over(w.orderBy(F.desc(SLICE)).rowsBetween(*EARLIER)),
         },
     )
     prev, nxt = _nearest("__known", W.partitionBy(*partition_by, SLICE), "__pos")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("revenue", "products", "retention", "anomalies", "cleaning", "quality", "catalog", "kpis", "storage")
+MODULES = ("revenue", "products", "retention", "anomalies", "cleaning", "quality", "catalog", "kpis", "storage", "scalars")
 
 
 def load_all() -> None:

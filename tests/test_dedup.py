@@ -35,19 +35,35 @@ def test_unknown_columns_are_ignored(rows):
     assert D.drop_duplicates(rows, ["nothing"]).count() == 9
 
 
-@pytest.mark.parametrize("split", [False, True])
-@pytest.mark.parametrize("keep,want", [("first", [3, 5, 9]), ("last", [2, 4, 8]), (False, [2, 3, 4, 5, 8, 9])])
-def test_mark_and_find(rows, monkeypatch, split, keep, want):
-    if split:
-        # The plan for groups larger than a task, with every group of two a hot one.
+@pytest.fixture(params=[False, True], ids=["window", "split"])
+def split(request, monkeypatch):
+    """The plan for groups larger than a task, with every group of two a hot one."""
+    if request.param:
         monkeypatch.setattr(D, "fits_one_task", lambda *a: False)
-        monkeypatch.setattr(groups, "few_groups", lambda *a, **k: False)
-        monkeypatch.setattr(D, "attach", lambda df, stats, keys: groups.attach(df, stats, keys, small=False, hot_rows=1))
+        monkeypatch.setattr(D, "COPIES", 2)
+        monkeypatch.setattr(
+            D, "attach", lambda df, s, keys, **k: groups.attach(df, s, keys, small=False, hot_rows=1)
+        )
+
+
+@pytest.mark.parametrize("keep,want", [("first", [3, 5, 9]), ("last", [2, 4, 8]), (False, [2, 3, 4, 5, 8, 9])])
+def test_mark_and_find(rows, split, keep, want):
     marked = D.mark_duplicates(rows, ["user_id"], keep, ["n"])
     assert numbers(marked.filter("_is_duplicate")) == want and marked.count() == 9
     assert numbers(D.find_duplicates(rows, ["user_id"], keep, ["n"])) == want
 
 
+@pytest.mark.parametrize("subset", [None, ["a"]])
+def test_identical_rows(spark, split, subset):
+    df = spark.createDataFrame([(1, "x")] * 7 + [(2, "y"), (None, None), (None, None)], "a int, b string")
+    marked = D.mark_duplicates(df, subset)
+    assert marked.count() == 10 and marked.filter("_is_duplicate").count() == 7
+    assert marked.filter("not _is_duplicate").distinct().count() == 3
+    assert D.find_duplicates(df, subset, "last").count() == 7
+    assert D.find_duplicates(df, subset, with_group=True).filter("group_rows = 7").count() == 7
+    assert D.drop_duplicates(df, subset).count() == 3
+
+
 def test_groups_and_report(rows):
     got = {r["user_id"]: (r["group_rows"], r["first_n"], r["last_n"]) for r in D.duplicate_groups(rows, ["user_id"], ["n"]).collect()}
     assert got == {2: (2, 2, 3), 3: (2, 4, 5), None: (2, 8, 9)}
