@@ -244,7 +244,8 @@ def detect_anomalies(
     """Add is_anomaly, anomaly_score, upper_bound and lower_bound to the rows.
 
     ``order_by`` completes the date to a unique order. ``service`` selects the conventions of
-    the report endpoint: sample deviation, distance from the median for iqr, scores decide.
+    the report endpoint: sample deviation, distance from the median for iqr, a moving window of
+    at most a third of the rows, scores decide.
     """
     if method not in METHODS:
         raise ValueError(f"method {method!r} is not one of {METHODS}")
@@ -267,6 +268,8 @@ def detect_anomalies(
         rows, flag, score = isolation_scores(rows, value_column, threshold, scope)
         high = low = F.lit(None).cast("double")
     else:
+        if service and method == "moving_avg" and not groupby_column:
+            window_size = max(service_window(rows.count()), 1)
         rows, flag, score, high, low = _RULES[method](
             rows, value_column, threshold, scope, service,
             window_size=window_size, seasonal_period=seasonal_period,

@@ -190,11 +190,6 @@ def upload_report(df: DataFrame, header: Sequence[str] | None = None) -> DataFra
     )
 
 
-def kpi_input_check(df: DataFrame, required: Sequence[str]) -> None:
-    """Raise for columns a KPI report needs and the table lacks."""
-    require_columns(df, *required)
-
-
 def rule_violations(
     df: DataFrame, rules: dict[str, Column], key: Sequence[str]
 ) -> DataFrame:

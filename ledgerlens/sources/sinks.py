@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ledgerlens.functions.numeric import require_columns
 from ledgerlens.operators.cleaning import process_upload
 from ledgerlens.operators.quality import upload_report
 from ledgerlens.sources import files
@@ -181,10 +180,3 @@ def ingest_batch(
     out = process_upload(landed) if process else landed
     path = save_table(out, out_folder, name, "parquet")
     return report.select("*", F.lit(path).alias("saved_to"))
-
-
-def snapshot_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace a derived table of the session's catalogue and read it."""
-    require_columns(df)
-    df.write.mode("overwrite").saveAsTable(name)
-    return df.sparkSession.table(name)

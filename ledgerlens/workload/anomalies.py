@@ -96,6 +96,11 @@ def anomaly_moving_avg(spark, d):
     return detect(spark, d, "moving_avg", 2.0)
 
 
+@query("anomaly_service_moving_avg", MOVING.format(b=3, a=3, n=7, t=2.0) + SCORED)
+def anomaly_service_moving_avg(spark, d):
+    return detect(spark, d, "moving_avg", 2.0, service=True)
+
+
 @query("anomaly_moving_avg_even", MOVING.format(b=5, a=4, n=10, t=2.0) + SCORED)
 def anomaly_moving_avg_even(spark, d):
     return detect(spark, d, "moving_avg", 2.0, window_size=10)

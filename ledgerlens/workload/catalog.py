@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import catalog as C
+from ledgerlens.operators import catalog as C, quality as Q
 from ledgerlens.workload.registry import query
 from ledgerlens.workload.views import table
 
@@ -320,3 +320,17 @@ SELECT source_type, COUNT(*) AS total, COUNT(*) FILTER (WHERE health_status = 'h
 )
 def cat_q17(spark, d):
     return C.health_by_type(C.summary_snapshot(sources(spark, d), AS_OF))
+
+
+@query(
+    "cat_constraints",
+    SOURCES + """
+SELECT 'name_not_null' AS rule, COUNT(*) FILTER (WHERE name IS NULL) AS violations FROM data_sources
+UNION ALL SELECT 'source_type_not_null', COUNT(*) FILTER (WHERE source_type IS NULL) FROM data_sources
+UNION ALL SELECT 'connection_config_not_null', COUNT(*) FILTER (WHERE connection_config IS NULL) FROM data_sources
+UNION ALL SELECT 'valid_status', COUNT(*) FILTER (WHERE status IN ('error', 'paused')) FROM data_sources""",
+)
+def cat_constraints(spark, d):
+    """Sources in error are given a state the catalogue does not know."""
+    state = F.when(F.col("status") == "error", "paused").otherwise(F.col("status"))
+    return Q.rule_counts(sources(spark, d).withColumn("status", state), Q.source_rules())

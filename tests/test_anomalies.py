@@ -147,6 +147,13 @@ def test_tree_steps_cover_the_line():
     assert (steps["depth"] > 0).all()
 
 
+def test_service_window_is_a_third_of_the_rows(spark):
+    out = A.detect_anomalies(series(spark, EIGHT + (11,)), "value", "date", "moving_avg", 1.0, service=True)
+    assert out.filter("upper_bound is not null").count() == 7
+    tiny = A.detect_anomalies(series(spark, [1, 5]), "value", "date", "moving_avg", 1.0, service=True)
+    assert tiny.filter("is_anomaly").count() == 0
+
+
 def test_invalid_calls(spark):
     df = series(spark, EIGHT)
     with pytest.raises(ValueError):

@@ -2,12 +2,11 @@
 
 import random
 
-import pandas as pd
 import pytest
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ledgerlens.plans.calendar import dense
-from ledgerlens.plans.groups import ROWS, attach, null_safe_join, with_totals
+from ledgerlens.plans.groups import ROWS, attach, with_totals
 from ledgerlens.plans.ordered import fill_ordered, moving, positions, running_sum
 from ledgerlens.plans.quantiles import quantiles
 from ledgerlens.plans.ranks import dense_ranks
