@@ -40,6 +40,20 @@ def test_no_task_sees_all_rows_in_order(spark, sf, name):
     assert not re.search(r"Window.*\n(?:.*Sort.*\n)?.*Exchange SinglePartition", main)
 
 
+def test_filters_and_columns_reach_the_scan(spark, sf, capsys):
+    entry.queries()["revenue_filtered"](spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = " ".join(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(l_shipdate" in pushed and "EqualTo(p_type,ECONOMY)" in pushed
+    assert "l_returnflag" not in plan and "p_brand" not in plan
+
+
+def test_category_share_reads_the_facts_once(spark, sf):
+    df = entry.queries()["revenue_by_category"](spark, sf)
+    df.collect()
+    assert "ReusedExchange" in executed(df)
+
+
 def test_split_plans_range_partition(spark, sf, monkeypatch):
     from ledgerlens.plans import ordered
 
