@@ -164,15 +164,24 @@ def ingest_batch(
 ) -> DataFrame:
     """Admit the files of a folder, land them, validate, process, save; return the report row.
 
-    The list of admitted files, not their contents, is what the driver sees.
+    A folder without rejected files is read as a folder; otherwise the paths of the admitted
+    ones, not their contents, pass through the driver.
     """
     checked = files.admitted(files.list_files(spark, source), max_mb)
     if file_format:
-        checked = checked.filter(F.col("format") == detect_format("", file_format))
-    paths = [r["path"] for r in checked.filter("admitted").select("path").collect()]
-    if not paths:
+        other = F.coalesce(F.col("format") != detect_format("", file_format), F.lit(True))
+        checked = checked.withColumn("admitted", F.col("admitted") & ~other)
+    count = checked.agg(
+        F.count_if("admitted").alias("good"),
+        F.count_if(~F.col("admitted")).alias("bad"),
+        F.min(F.when(F.col("admitted"), F.col("format"))).alias("format"),
+    ).first()
+    if not count["good"]:
         raise ValueError(f"no file in {source} may be loaded")
-    raw = read_table(spark, paths, file_format or detect_format(paths[0]), schema)
+    paths = source
+    if count["bad"]:
+        paths = [r["path"] for r in checked.filter("admitted").select("path").collect()]
+    raw = read_table(spark, paths, file_format or count["format"], schema, recursiveFileLookup=True)
     landed = land_verified(raw, f"{raw_folder}/{name}_{run_stamp()}.parquet")
     report = upload_report(landed)
     if not report.first()["is_valid"]:

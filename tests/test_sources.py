@@ -115,6 +115,9 @@ def test_land_and_ingest(spark, folder):
     assert sorted(tuple(r) for r in saved.collect()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         sinks.ingest_batch(spark, f"{folder}/in", f"{folder}/r2", f"{folder}/o2", "o", "json")
+    write(f"{folder}/in/notes.md", "not a table")
+    again = sinks.ingest_batch(spark, f"{folder}/in", f"{folder}/r3", f"{folder}/o3", "o", "csv", df.schema).first()
+    assert spark.read.parquet(again["saved_to"]).count() == 2
 
 
 def test_catalogue_table(spark, tmp_path):
