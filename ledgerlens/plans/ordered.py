@@ -34,19 +34,21 @@ def sliced(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str])
 
 
 def _carry(
-    rows: DataFrame, partition_by: Sequence[str], per_slice: dict[str, Column], carried: dict
+    rows: DataFrame, partition_by: Sequence[str], per_slice: dict[str, Column], *steps: dict
 ) -> DataFrame:
     """Join to each row what its group's earlier (or later) slices contribute.
 
-    A group has at most one summary row per slice, so the window over them is small, and a
-    (group, slice) pair has at most one slice of rows, so the join is even.
+    A group has at most one summary row per slice, so the windows over them are small, and a
+    (group, slice) pair has at most one slice of rows, so the join is even. Each step maps
+    names to functions from the group's window; a later step may use an earlier one's columns.
     """
-    summary = rows.groupBy(*partition_by, SLICE).agg(*[v.alias(k) for k, v in per_slice.items()])
+    carry = rows.groupBy(*partition_by, SLICE).agg(*[v.alias(k) for k, v in per_slice.items()])
     over_slices = W.partitionBy(*partition_by)
-    carry = summary.select(
-        *partition_by, SLICE, *[make(over_slices).alias(k) for k, make in carried.items()]
-    )
-    return null_safe_join(rows, carry, [*partition_by, SLICE], "left")
+    names = []
+    for step in steps:
+        carry = carry.select("*", *[make(over_slices).alias(k) for k, make in step.items()])
+        names += list(step)
+    return null_safe_join(rows, carry.select(*partition_by, SLICE, *names), [*partition_by, SLICE], "left")
 
 
 def running_sum(
@@ -173,35 +175,50 @@ def neighbours(
     before, and at or after, each row; and ``__pos``, the row's position."""
     if split is None:
         split = not fits_one_task(df, partition_by, max_group_rows)
-    known = F.when(
-        F.col(value).isNotNull(), F.struct(F.col("__pos").alias("p"), F.col(value).alias("v"))
-    )
     if not split:
         by = W.partitionBy(*partition_by)
         number = F.row_number().over(by.orderBy(*order_by)).cast("long") - 1
-        rows = df.withColumn("__pos", number).withColumn("__known", known)
+        rows = df.withColumn("__pos", number).withColumn("__known", _known("__pos", value))
         prev, nxt = _nearest("__known", by, "__pos")
         return rows.withColumn("__prev", prev).withColumn("__next", nxt).drop("__known")
-    placed = positions(df, "__pos", order_by=order_by, partition_by=partition_by, split=True)
-    rows = sliced(placed.withColumn("__known", known), partition_by, ["__pos"])
+    # Positions within the slice first; the rows of earlier slices are added afterwards.
+    by = W.partitionBy(*partition_by, SLICE)
+    rows = sliced(df, partition_by, order_by)
+    rows = rows.withColumn("__at", F.row_number().over(by.orderBy(*order_by)).cast("long") - 1)
+    rows = rows.withColumn("__known", _known("__at", value))
     rows = _carry(
         rows,
         partition_by,
-        {"__lo": F.min("__known"), "__hi": F.max("__known")},
+        {"__n": F.count(F.lit(1)), "__lo": F.min("__known"), "__hi": F.max("__known")},
+        {"__base": lambda w: F.coalesce(F.sum("__n").over(w.orderBy(SLICE).rowsBetween(*EARLIER)), F.lit(0))},
         {
-            "__before": lambda w: F.last("__hi", True).over(w.orderBy(SLICE).rowsBetween(*EARLIER)),
-            "__after": lambda w: F.last("__lo", True).over(w.orderBy(F.desc(SLICE)).rowsBetween(*EARLIER)),
+            "__before": lambda w: F.last(_shifted("__hi"), True).over(w.orderBy(SLICE).rowsBetween(*EARLIER)),
+            "__after": lambda w: F.last(_shifted("__lo"), True).over(
+                w.orderBy(F.desc(SLICE)).rowsBetween(*EARLIER)
+            ),
         },
     )
-    prev, nxt = _nearest("__known", W.partitionBy(*partition_by, SLICE), "__pos")
+    prev, nxt = _nearest("__known", by, "__at")
+    rows = rows.withColumn("__p", prev).withColumn("__f", nxt)
     return rows.select(
         *df.columns,
-        "__pos",
-        F.coalesce(prev, F.col("__before")).alias("__prev"),
-        F.coalesce(nxt, F.col("__after")).alias("__next"),
+        (F.col("__at") + F.col("__base")).alias("__pos"),
+        F.coalesce(_shifted("__p"), F.col("__before")).alias("__prev"),
+        F.coalesce(_shifted("__f"), F.col("__after")).alias("__next"),
     )
 
 
+def _known(position: str, value: str) -> Column:
+    pair = F.struct(F.col(position).alias("p"), F.col(value).alias("v"))
+    return F.when(F.col(value).isNotNull(), pair)
+
+
+def _shifted(pair: str) -> Column:
+    """A (position, value) of a slice with the position in the whole group."""
+    moved = F.struct((F.col(pair)["p"] + F.col("__base")).alias("p"), F.col(pair)["v"].alias("v"))
+    return F.when(F.col(pair).isNotNull(), moved)
+
+
 def fill_ordered(df: DataFrame, value: str, how: str, **scope) -> DataFrame:
     """Fill nulls of ``value`` from its neighbours: forward, backward or interpolate.
 

@@ -175,9 +175,12 @@ def ingest_batch(
         F.count_if("admitted").alias("good"),
         F.count_if(~F.col("admitted")).alias("bad"),
         F.min(F.when(F.col("admitted"), F.col("format"))).alias("format"),
+        F.max(F.when(F.col("admitted"), F.col("format"))).alias("last_format"),
     ).first()
     if not count["good"]:
         raise ValueError(f"no file in {source} may be loaded")
+    if count["format"] != count["last_format"]:
+        raise ValueError(f"{source} holds files of several formats; say which with file_format")
     paths = source
     if count["bad"]:
         paths = [r["path"] for r in checked.filter("admitted").select("path").collect()]
