@@ -73,7 +73,7 @@ ruled AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    list_transform(list_filter(string_split(path, '/'), s -> s <> ''), s -> CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS first
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS first
   FROM page),
 labelled AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM ruled),
@@ -86,10 +86,10 @@ grown AS (
   FROM part JOIN support USING (host, k, s) GROUP BY host, first),
 tree AS (
   SELECT c.host, c.first, l, b, coalesce(grown, []) AS grown,
-    list_max(list_transform(range(1, len(coalesce(grown, [])) + 1), i -> CASE WHEN grown[i] <> '*' THEN i ELSE 0 END)) AS last
+    list_max(list_transform(range(1, len(coalesce(grown, [])) + 1), lambda i: CASE WHEN grown[i] <> '*' THEN i ELSE 0 END)) AS last
   FROM counted c LEFT JOIN grown g ON c.host = g.host AND c.first = g.first),
 branch AS (
-  SELECT host, grown, list_transform(range(1, len(grown) + 1), i -> CASE WHEN i = last THEN '*' ELSE grown[i] END) AS parent, sum(l) AS l, sum(b) AS b
+  SELECT host, grown, list_transform(range(1, len(grown) + 1), lambda i: CASE WHEN i = last THEN '*' ELSE grown[i] END) AS parent, sum(l) AS l, sum(b) AS b
   FROM tree GROUP BY host, grown, last),
 rated AS (SELECT *, (sum(b) OVER w + 1) / (sum(l) OVER w + 2) AS rate FROM branch WINDOW w AS (PARTITION BY host, parent)),
 merged AS (
