@@ -49,7 +49,8 @@ def difference_cover(period: int = PERIOD, seeds: tuple[int, ...] = (1, 91, 117)
 COVER = difference_cover()
 _BACK = PERIOD - 1  # bytes before a sample that its strings may start at
 _MULTI = np.uint32(1 << 31)
-FULL, SHOWN, OPEN = 0, 1, 2
+FULL, SHOWN, OPEN, START = 0, 1, 2, 3
+_MARKS = "slice int, docs binary, counts binary, places binary"
 _CELL = "bucket int, a binary, b binary, doc binary, place binary, known binary"
 
 
@@ -115,26 +116,46 @@ def _cells(a: np.ndarray, b: np.ndarray | None, doc: np.ndarray, place: np.ndarr
 
 def _bucket(table: pa.Table) -> tuple[np.ndarray, ...]:
     """All records of one bucket: a, b, doc, place, stands for several, asked, and the known (doc, place)."""
-    def whole(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table.column(name))])
-
-    place = whole("place", np.uint32)
+    place = _joined(table, "place", np.uint32)
     known = [x.as_py() for x in table.column("known")]
     sizes = [len(x) // 12 for x in known]
     known_doc = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(known, sizes, strict=True))])
     known_place = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x[8 * n :], np.uint32) for x, n in zip(known, sizes, strict=True))])
-    return (whole("a", np.uint64), whole("b", np.uint64), whole("doc", np.int64), place & np.uint32((1 << 30) - 1),
+    return (_joined(table, "a", np.uint64), _joined(table, "b", np.uint64), _joined(table, "doc", np.int64), place & np.uint32((1 << 30) - 1),
             (place & _MULTI) != 0, (place >> np.uint32(30) & np.uint32(1)) != 0, known_doc, known_place)
 
 
-def _by_document(doc: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.Table:
-    """doc and its places with their kinds in the two highest bits."""
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], (place.astype(np.uint32) | kind.astype(np.uint32) << np.uint32(30))[order]
+def _by_slice(doc: np.ndarray, place: np.ndarray, kind: np.ndarray, slices: int) -> pa.Table:
+    """Places with their kinds in the two highest bits, packed by document, one row for each slice of documents."""
+    part = (mixed(doc.view(np.uint64)) % np.uint64(slices)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    doc, part, place = doc[order], part[order], (place.astype(np.uint32) | kind.astype(np.uint32) << np.uint32(30))[order]
     edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-    stops = np.concatenate([edge[1:], [len(doc)]]) if len(doc) else edge
-    raw = place.tobytes()
-    return pa.table({"doc": pa.array(doc[edge], pa.int64()), "places": pa.array([raw[4 * a : 4 * b] for a, b in zip(edge.tolist(), stops.tolist(), strict=True)], pa.binary())})
+    counts = np.diff(np.concatenate([edge, [len(doc)]])).astype(np.uint32)
+    docs, edges = doc[edge], np.searchsorted(part, np.arange(slices + 1))
+    doc_edges = np.searchsorted(part[edge], np.arange(slices + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        of = slice(doc_edges[k], doc_edges[k + 1])
+        rows.append((k, docs[of].tobytes(), counts[of].tobytes(), place[edges[k] : edges[k + 1]].tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["slice", "docs", "counts", "places"])
+
+
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table.column(name))])
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a slice, with all its places."""
+    docs, counts, places = _joined(table, "docs", np.int64), _joined(table, "counts", np.uint32), _joined(table, "places", np.uint32)
+    each = np.repeat(docs, counts)
+    order = np.argsort(each, kind="stable")
+    each, raw = each[order], places[order].tobytes()
+    edge = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.empty(0, np.int64)
+    stops = np.concatenate([edge[1:], [len(each)]]) if len(each) else edge
+    own = [raw[4 * a : 4 * b] for a, b in zip(edge.tolist(), stops.tolist(), strict=True)]
+    return pa.table({"doc": pa.array(each[edge], pa.int64()), "places": pa.array(own, pa.binary())})
 
 
 def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -145,7 +166,7 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.cumsum(change)
 
 
-def sort_samples(table: pa.Table) -> pa.Table:
+def sort_samples(table: pa.Table, slices: int) -> pa.Table:
     """Sort the sample suffixes of one bucket; the samples that may begin repeats, by document."""
     a, b, doc, place, many, _, known_doc, known_place = _bucket(table)
     order = np.lexsort((place, doc, b, a))
@@ -159,17 +180,19 @@ def sort_samples(table: pa.Table) -> pa.Table:
     first = np.concatenate([[True], whole[1:] != whole[:-1]]) if len(whole) else np.empty(0, bool)
     kind = np.where(alone, OPEN, np.where(first & active[head] if len(head) else first, SHOWN, FULL))
     kept = full | alone
-    return _by_document(np.concatenate([doc[kept], known_doc]), np.concatenate([place[kept], known_place]), np.concatenate([kind[kept], np.full(len(known_doc), FULL)]))
+    kinds = np.concatenate([kind[kept], np.full(len(known_doc), FULL)])
+    return _by_slice(np.concatenate([doc[kept], known_doc]), np.concatenate([place[kept], known_place]), kinds, slices)
 
 
-def sort_strings(table: pa.Table) -> pa.Table:
+def sort_strings(table: pa.Table, slices: int) -> pa.Table:
     """Sort the strings of one bucket; the asked ones that occur again, by document."""
     a, _, doc, place, many, asked, known_doc, known_place = _bucket(table)
     order = np.argsort(a, kind="stable")
     group = _groups(order, a)
     n = np.bincount(group, weights=1 + many[order]) if len(group) else np.empty(0)
     kept = order[(n[group] > 1) & asked[order]] if len(group) else order
-    return _by_document(np.concatenate([doc[kept], known_doc]), np.concatenate([place[kept], known_place]), np.full(len(kept) + len(known_doc), OPEN))
+    doc, place = np.concatenate([doc[kept], known_doc]), np.concatenate([place[kept], known_place])
+    return _by_slice(doc, place, np.full(len(doc), START), slices)
 
 
 def _ranges(p: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -180,12 +203,12 @@ def _ranges(p: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(mark[: n - size + 1]) > 0
 
 
-def _split(places: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    both = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in places or ())])
+def _split(places: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(places or b"", np.uint32)
     return (both & np.uint32((1 << 30) - 1)).astype(np.int64), both >> np.uint32(30)
 
 
-def _open_strings(raw: np.ndarray, places: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_strings(raw: np.ndarray, places: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, place and whether an answer is wanted, of the strings of open and shown samples of a document."""
     p, kind = _split(places)
     n = len(raw)
@@ -224,7 +247,8 @@ def _chunk(held: list[tuple], buckets: int, answer: bool) -> pa.RecordBatch:
 
 
 def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc, places: for docs (doc, text), samples whose strings all repeat (kind FULL or SHOWN) and starts of repeated strings (kind OPEN)."""
+    """doc, places, one row for each of docs (doc, text) that has any: samples whose strings all repeat (kinds
+    FULL and SHOWN), starts of repeated strings (START), and open samples, which only told where to look."""
     if size < PERIOD + 16:
         raise ValueError(f"size must be at least {PERIOD + 16}")
     spark = docs.sparkSession
@@ -239,7 +263,8 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return _dealt(batches, one, buckets, False)
 
     cells = long_enough.select("doc", "text").mapInArrow(samples, _CELL)
-    found = cut_lineage(cells.groupBy("bucket").applyInArrow(sort_samples, "doc long, places binary"), "samples")
+    found = cells.groupBy("bucket").applyInArrow(lambda table: sort_samples(table, buckets), _MARKS)
+    found = cut_lineage(found, "samples")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(raw, batch, i):
@@ -248,33 +273,19 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
         return _dealt(batches, one, buckets, True)
 
-    marks = found.groupBy("doc").agg(F.collect_list("places").alias("places"))
+    marks = found.groupBy("slice").applyInArrow(gather, "doc long, places binary")
     around = long_enough.select("doc", "text").join(marks, "doc").mapInArrow(strings, _CELL)
-    ends = cut_lineage(around.groupBy("bucket").applyInArrow(sort_strings, "doc long, places binary"), "strings")
-    return _whole_samples(found).union(ends)
-
-
-def _whole_samples(found: DataFrame) -> DataFrame:
-    """Without the open samples, which only told where to look."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column(1):
-                both = np.frombuffer(x.as_py(), np.uint32)
-                out.append(both[both >> np.uint32(30) != OPEN].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "places"])
-
-    return found.mapInArrow(run, "doc long, places binary").where("octet_length(places) > 0")
+    ends = around.groupBy("bucket").applyInArrow(lambda table: sort_strings(table, buckets), _MARKS)
+    return found.union(cut_lineage(ends, "strings")).groupBy("slice").applyInArrow(gather, "doc long, places binary")
 
 
-def removed_mask(n: int, places: list[bytes] | None, size: int = SIZE) -> np.ndarray:
+def removed_mask(n: int, places: bytes | None, size: int = SIZE) -> np.ndarray:
     """Which bytes of a document of n bytes are covered by repeated strings."""
     p, kind = _split(places)
     if n < size or not len(p):
         return np.zeros(n, bool)
-    starts = _ranges(p[kind != OPEN], n, size)
-    starts[p[kind == OPEN]] = True
+    starts = _ranges(p[kind <= SHOWN], n, size)
+    starts[p[kind == START]] = True
     edge = np.diff(np.concatenate([[0], starts.view(np.int8), [0]]))
     mark = np.zeros(n + 1, np.int32)
     np.add.at(mark, np.flatnonzero(edge == 1), 1)
@@ -287,7 +298,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(docs[quoted(text)], F.lit(""))
     slim = docs.select(docs[quoted(doc_id)].alias("doc_id"), body.alias("text"))
     slim = slim.withColumn("doc", F.xxhash64("doc_id", "text"))
-    marks = repeated(slim, size).groupBy("doc").agg(F.collect_list("places").alias("places"))
+    marks = repeated(slim, size)
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, spans array<struct<start:long,stop:long>>" * with_text

@@ -264,8 +264,7 @@ def planted_repeats():
     return out + [(100, out[3][1]), (101, shared[-1] * 3), (101, shared[-1] * 3)]
 
 
-@pytest.mark.parametrize("pieces", [substrings.PIECE, 700])
-def test_substrings(spark, odd, docs, pieces, monkeypatch):
+def test_substrings(spark, odd):
     for rows in (planted_repeats(), [tuple(r) for r in odd.select("doc_id", "text").collect()]):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         found = substrings.remove_repeats(df)
