@@ -11,7 +11,7 @@ rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts
 
 Encoding is the tokenizers library's. A single blank between two characters that are not white space always
 starts a new piece of byte-level pre-tokenisation, so texts are cut there and each different piece is
-encoded once in a task.
+encoded once in a worker for as long as it is kept.
 
 Defined cases: null text is empty; every document ends with the end id; equal ids are ordered by text hash,
 null ids come first; no pair crosses the end of a document; an empty table writes empty files. A shard
@@ -24,6 +24,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,19 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 4
 RULES = 2048
 LEAST = 16
-#: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
-KEPT_PIECES, KEPT_IDS, KEPT_CHARS = 1_000_000, 1 << 24, 64
+#: Pieces kept with their ids in a worker, and the longest piece kept; others are encoded anew.
+KEPT_PIECES, KEPT_CHARS = 1_000_000, 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r"[^\S\n ]|\x00")
+
+
+def cut(text: str) -> list[str]:
+    """The text in pieces that are encoded on their own; each but the first starts with its blank."""
+    if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        out = _CUT.split(text)
+        out[1:] = [" " + x for x in out[1:]]
+        return out
+    return text.replace(" ", "\0 ").split("\0")  # every blank stands alone
 
 
 class Encoder:
@@ -56,6 +67,28 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.seen = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the pieces seen more than once; they are the ones that come again."""
+        kept = [(x, i) for x, i in self.place.items() if self.seen[i] > 1]
+        if 2 * len(kept) > KEPT_PIECES:
+            return self.clear()
+        at = np.fromiter((i for _, i in kept), np.int64, len(kept))
+        ids, sizes = self.ids_of(at)
+        self.place = {x: k for k, (x, _) in enumerate(kept)}
+        self.flat, self.used = (ids if len(ids) else np.empty(1 << 16, np.uint32)), len(ids)
+        self.sizes, self.starts, self.count = sizes, np.cumsum(sizes) - sizes, len(kept)
+        if not kept:
+            return self.clear()
+        self.seen = np.ones(len(kept), np.int64)
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces on end, and the number of ids of each."""
+        sizes = self.sizes[at]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[at] - (stops - sizes), sizes)], sizes
 
     def learn(self, pieces: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -66,7 +99,7 @@ class Encoder:
         while self.count + len(ids) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
-        self.flat[self.used : self.used + more] = np.fromiter((x for one in ids for x in one), np.uint32, more)
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
         self.sizes[self.count : self.count + len(ids)] = sizes
         self.starts[self.count : self.count + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.place.update(zip(pieces, range(self.count, self.count + len(ids)), strict=True))
@@ -74,27 +107,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, without an end id, and the number of ids of each."""
+        if len(self.place) > KEPT_PIECES:
+            self.trim()
         pieces: list[str] = []
         counts = []
         for text in texts:
-            cut = _CUT.split(text)
-            cut[1:] = [" " + x for x in cut[1:]]
-            pieces += cut
-            counts.append(len(cut))
-        new = set(pieces).difference(self.place)
-        long = [x for x in new if len(x) > KEPT_CHARS]
-        if len(self.place) + len(new) > KEPT_PIECES or self.used > KEPT_IDS:
-            self.clear()
-            new = set(pieces)
-        self.learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.sizes[at]
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - (stops - sizes), sizes)]
-        ends = np.concatenate([[0], stops])[np.cumsum(counts)]
-        for x in long:
-            self.place.pop(x, None)
+            own = cut(text)
+            pieces += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(miss := np.flatnonzero(at < 0).tolist()):
+            self.learn(list(dict.fromkeys(pieces[i] for i in miss)))
+            at[miss] = [self.place[pieces[i]] for i in miss]
+            for i in miss:
+                if len(pieces[i]) > KEPT_CHARS:
+                    self.place.pop(pieces[i], None)
+        seen = np.bincount(at, minlength=self.count)
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        ids, sizes = self.ids_of(at)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
