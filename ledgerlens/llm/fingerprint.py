@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.prefix import PrefixHash, mixed
-from ledgerlens.llm.rows import quoted
+from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import cut_lineage
 
 SPAN = 16
@@ -101,6 +101,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     beyond them; the first and last document of each task meet in a second, small step.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(docs[quoted(doc_id)].alias("doc_id"), F.coalesce(docs[quoted(text)], F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.rows import quoted, with_text_columns
+from ledgerlens.llm.rows import quoted, small_batches, with_text_columns
 
 UNKNOWN = "und"
 PROFILE = 300
@@ -102,6 +102,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 names=["lang", "gram", "n"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[quoted(lang)].alias("lang"), docs[quoted(text)].alias("text"))
     counted = rows.where("lang is not null and text is not null").mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.rows import quoted, with_text_columns
+from ledgerlens.llm.rows import quoted, small_batches, with_text_columns
 from ledgerlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -162,6 +162,7 @@ def disclosing_terms(
     block_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """term, disclosure (the largest over its entities) and action, from the whole corpus."""
+    small_batches(docs.sparkSession)
     near = cut_lineage(entity_terms(docs, text, reach), "entity-terms")
     total = docs.count()
     entities = near.where("term is null").groupBy("entity").agg(F.count("*").alias("n_e"))

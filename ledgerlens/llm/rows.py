@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
+#: Rows of one Arrow batch; texts are long, and a batch stands in the memory of both sides.
+BATCH_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batches to a size that suits texts; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, rows)
+
+
 def others(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Columns of df whose names do not clash, in any case, with the names an operator adds."""
     taken = {n.lower() for n in names}
@@ -31,6 +42,7 @@ def with_text_columns(
     added is the DDL of the new columns. carry names the columns of df to keep, all by default; a column
     whose name clashes with a new one gives way to it.
     """
+    small_batches(df.sparkSession)
     new = _parse_datatype_string(added)
     kept = [c for c in others(df, new.names) if carry is None or c in carry]
     place = kept.index(text) if text in kept else None

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.prefix import PrefixHash, mixed
-from ledgerlens.llm.rows import quoted
+from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import cut_lineage
 
 SIZE = 400
@@ -252,6 +252,7 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     if size < PERIOD + 16:
         raise ValueError(f"size must be at least {PERIOD + 16}")
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_enough = docs.where(F.octet_length("text") >= size)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.rows import quoted
+from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import shuffles_freed
 
 END = 0
@@ -42,7 +42,8 @@ ROUNDS = 4
 RULES = 2048
 LEAST = 16
 #: Pieces kept with their ids in a worker, and the longest piece kept; others are encoded anew.
-KEPT_PIECES, KEPT_CHARS = 1_000_000, 64
+KEPT_PIECES, KEPT_CHARS = 700_000, 64
+_LEARN = 8192
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S\n ]|\x00")
 
@@ -117,7 +118,9 @@ class Encoder:
             counts.append(len(own))
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(miss := np.flatnonzero(at < 0).tolist()):
-            self.learn(list(dict.fromkeys(pieces[i] for i in miss)))
+            new = list(dict.fromkeys(pieces[i] for i in miss))
+            for k in range(0, len(new), _LEARN):  # the library's results are large
+                self.learn(new[k : k + _LEARN])
             at[miss] = [self.place[pieces[i]] for i in miss]
             for i in miss:
                 if len(pieces[i]) > KEPT_CHARS:
@@ -217,6 +220,7 @@ def write_tokens(
 ) -> str:
     """Encode the documents in ascending id order and write the files below path; the path."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(docs[quoted(doc_id)].alias("doc_id"), F.coalesce(docs[quoted(text)], F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
