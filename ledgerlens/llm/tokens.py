@@ -11,7 +11,7 @@ rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts
 
 Encoding is the tokenizers library's. A single blank between two characters that are not white space always
 starts a new piece of byte-level pre-tokenisation, so texts are cut there and each different piece is
-encoded once in a worker for as long as it is kept.
+encoded once in a task for as long as it is kept.
 
 Defined cases: null text is empty; every document ends with the end id; equal ids are ordered by text hash,
 null ids come first; no pair crosses the end of a document; an empty table writes empty files. A shard
@@ -41,9 +41,9 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 4
 RULES = 2048
 LEAST = 16
-#: Pieces kept with their ids in a worker, and the longest piece kept; others are encoded anew.
-KEPT_PIECES, KEPT_CHARS = 700_000, 64
-_LEARN = 8192
+#: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
+_LEARN, _JOINED = 8192, 32
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S\n ]|\x00")
 
@@ -57,11 +57,26 @@ def cut(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")  # every blank stands alone
 
 
+@functools.cache
+def _tokenizer(file: str) -> tuple[Tokenizer, np.ndarray]:
+    """The tokenizer and the number of bytes each of its ids stands for."""
+    tokenizer = Tokenizer.from_file(file)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character for each byte
+    return tokenizer, sizes
+
+
+def _alone(piece: str) -> bool:
+    """Whether a piece must not be joined to others: it begins or ends with more than its one blank."""
+    return len(piece) < 2 or piece[0] != " " or piece[1].isspace() or piece[-1].isspace()
+
+
 class Encoder:
     """Ids of texts; each different piece is encoded once."""
 
     def __init__(self, file: str):
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.bytes_of = _tokenizer(file)
         self.clear()
 
     def clear(self) -> None:
@@ -92,19 +107,33 @@ class Encoder:
         return self.flat[np.arange(total) + np.repeat(self.starts[at] - (stops - sizes), sizes)], sizes
 
     def learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = int(sizes.sum())
+        """Encode new pieces, many in one string; the ids' bytes tell where a piece ends."""
+        alone = [x for x in pieces if _alone(x)]
+        if alone:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.add(alone, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        pieces = [x for x in pieces if not _alone(x)] if alone else pieces
+        if pieces:
+            joined = ["".join(pieces[k : k + _JOINED]) for k in range(0, len(pieces), _JOINED)]
+            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            flat = np.concatenate(ids)
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in pieces), np.int64, len(pieces)))
+            stops = np.searchsorted(np.cumsum(self.bytes_of[flat]), ends) + 1
+            self.add(pieces, flat, np.diff(np.concatenate([[0], stops])))
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        more = len(ids)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.count + len(ids) > len(self.starts):
+        while self.count + len(pieces) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
-        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
-        self.sizes[self.count : self.count + len(ids)] = sizes
-        self.starts[self.count : self.count + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.place.update(zip(pieces, range(self.count, self.count + len(ids)), strict=True))
-        self.used, self.count = self.used + more, self.count + len(ids)
+        self.flat[self.used : self.used + more] = ids
+        at = slice(self.count, self.count + len(pieces))
+        self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.place.update(zip(pieces, range(at.start, at.stop), strict=True))
+        self.used, self.count = self.used + more, at.stop
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, without an end id, and the number of ids of each."""
@@ -133,11 +162,6 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
-@functools.cache
-def _encoder(file: str) -> Encoder:
-    return Encoder(file)
-
-
 def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
     seq, grammar = ids.astype(np.uint32), []
@@ -229,7 +253,7 @@ def write_tokens(
               "rules binary, expansions binary, symbols binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
         seq = before = waiting = 0
         keys: list = []
         held: list[np.ndarray] = []

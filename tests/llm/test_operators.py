@@ -178,7 +178,7 @@ def test_grammar_round_trip(ids):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab ,.\n\t\r\x1c\x85\xa0 é1's", max_size=40), max_size=5))
 def test_pieces_encode_like_whole_texts(texts):
-    encoder = tokens._encoder(queries.TOKENIZER)
+    encoder = tokens.Encoder(queries.TOKENIZER)
     ids, counts = encoder.encode(texts) if texts else (np.empty(0, np.uint32), np.empty(0, np.int64))
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
