@@ -112,6 +112,7 @@ def mix(
         *(docs[quoted(c)].alias(n) for c, n in zip(kept, names, strict=True)),
         docs[quoted(source)].cast("string").alias("source"), docs[quoted(doc_id)].alias("id"), size_of(docs[quoted(text)]).alias("size"),
     )
+    rows = cut_lineage(rows, "mix-sizes")  # texts are read and counted once
     goals = targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "g")
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") * float(UNIT) / F.col("source_size")).cast("long")).otherwise(F.lit(UNIT))
