@@ -24,10 +24,10 @@ def check_period(period: str | None, default: str = "M") -> str:
 
 
 def period_start(ts: Column, period: str) -> Column:
-    """First day of the period as DATE; weeks start on Monday."""
+    """First day of the period as DATE; weeks start on Monday. A text that is no date gives null."""
     if period == "D":
-        return ts.cast("date")
-    return F.date_trunc(_TRUNC[period], ts.cast("date")).cast("date")
+        return ts.try_cast("date")
+    return F.trunc(ts.try_cast("date"), _TRUNC[period])
 
 
 def period_step(period: str) -> Column:

@@ -18,6 +18,9 @@ DATE_FORMATS = (
 )
 
 
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?$"
+
+
 def strip(c: Column) -> Column:
     """Remove white space of every kind from both ends."""
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
@@ -43,9 +46,15 @@ def _shape(layout: str) -> str:
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Timestamp by the first layout that fits, else null.
 
-    A text is parsed only by layouts of its own shape; failing parses are slow.
+    A text is parsed only by layouts of its own shape; failing parses are slow. Without given layouts,
+    ISO 8601 texts (with T or a blank, minutes, seconds, fractions, a zone) and month/day/year with single
+    digits are read too.
     """
-    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    known = [F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats]
+    if tuple(formats) == DATE_FORMATS:
+        known.append(F.when(c.rlike(_ISO), c.try_cast("timestamp")))
+        known.append(F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(c, F.lit("M/d/yyyy"))))
+    return F.coalesce(*known)
 
 
 def parse_currency(c: Column, symbol: str = "$") -> Column:

@@ -20,7 +20,12 @@ def converted(df: DataFrame, column: str, to: str) -> Column:
     c = F.col(column)
     text = isinstance(df.schema[column].dataType, T.StringType)
     if to == "int":
-        return F.trim(c).try_cast("double").try_cast("long") if text else c.try_cast("long")
+        if not text:
+            return c.try_cast("long")
+        # Digits stay exact; 1e3 and 4.0 are whole too, a fraction does not convert.
+        number = F.trim(c).try_cast("double")
+        whole = (number == F.floor(number)) & (F.abs(number) < float(1 << 53))
+        return F.coalesce(F.trim(c).try_cast("long"), F.when(whole, number.try_cast("long")))
     if to == "float":
         return F.trim(c).try_cast("double") if text else c.try_cast("double")
     if to in ("str", "category"):

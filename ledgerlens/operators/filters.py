@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numeric import exact_avg, require_columns
+from ledgerlens.functions.text import parse_date
 
 # Days looked back per period name; qtd and ytd start at the calendar unit.
 PERIOD_DAYS = {"current": 30, "7d": 7, "30d": 30, "90d": 90, "12m": 365}
@@ -20,13 +21,20 @@ def in_category(df: DataFrame, category_column: str, category: str) -> DataFrame
 def in_dates(df: DataFrame, date_column: str, start: str | None, end: str | None) -> DataFrame:
     """Rows from the start day to the end of the end day; either bound may be open."""
     require_columns(df, date_column)
+    when = date_of(df, date_column)
     if start is not None:
-        df = df.filter(F.col(date_column) >= F.lit(start).cast("date"))
+        df = df.filter(when >= F.lit(start).cast("date"))
     if end is not None:
-        df = df.filter(F.col(date_column) < F.date_add(F.lit(end).cast("date"), 1))
+        df = df.filter(when < F.date_add(F.lit(end).cast("date"), 1))
     return df
 
 
+def date_of(df: DataFrame, column: str) -> Column:
+    """A date column as it is, so that bounds reach the scan; a text one parsed, null where it is no date."""
+    c = F.col(column)
+    return parse_date(F.trim(c)) if df.schema[column].dataType.typeName() == "string" else c
+
+
 def window_start(period: str, anchor: Column) -> Column:
     """First day of the period that ends on the anchor day."""
     p = period.lower()
@@ -42,12 +50,13 @@ def window_start(period: str, anchor: Column) -> Column:
 def in_period(df: DataFrame, date_column: str, period: str, anchor: str | None = None) -> DataFrame:
     """Rows of the period up to the anchor day, by default the last day in the table."""
     require_columns(df, date_column)
-    day = F.col(date_column).cast("date")
+    when = date_of(df, date_column)
+    day = when.cast("date")
     if anchor is None:
         last = df.agg(F.max(day).alias("d")).scalar()
     else:
         last = F.lit(anchor).cast("date")
-    return df.filter(F.col(date_column) >= window_start(period, last)).filter(day <= last)
+    return df.filter(when >= window_start(period, last)).filter(day <= last)
 
 
 def sorted_top(

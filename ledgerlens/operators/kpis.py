@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,7 +15,13 @@ from ledgerlens.plans.calendar import dense
 CATEGORIES = ("financial", "operational", "customer", "product", "sales")
 FORMATS = ("minimal", "summary", "detailed")
 # The KPIs of the minimal format.
-MINIMAL = ("revenue", "profit", "profit_margin")
+MINIMAL = {
+    "financial": ("revenue", "profit", "profit_margin"),
+    "operational": ("transactions", "avg_transaction_value"),
+    "customer": ("total_customers", "customer_retention_rate", "customer_lifetime_value"),
+    "product": ("total_products", "high_performers"),
+    "sales": ("total_sales", "conversion_rate"),
+}
 # Columns a product performance table needs for KPIs.
 REQUIRED = (
     "total_revenue", "total_profit", "profit_margin", "roi", "transaction_count", "total_quantity", "return_rate",
@@ -312,7 +320,8 @@ def in_format(kpis: DataFrame, category: str | None = None, form: str = "summary
             raise ValueError(f"category {category!r} is not one of {CATEGORIES}")
         kpis = kpis.filter(F.col("category") == category)
     if form == "minimal":
-        kpis = kpis.filter((F.col("category") != "financial") | F.col("kpi").isin(*MINIMAL))
+        essential = [(F.col("category") == k) & F.col("kpi").isin(*names) for k, names in MINIMAL.items()]
+        kpis = kpis.filter(reduce(or_, essential))
     return kpis
 
 

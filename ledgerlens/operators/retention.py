@@ -235,6 +235,8 @@ def calculate_retention(
     if method == "rolling":
         return rolling_retention(log, cohort_period, retention_periods, min_activity_threshold, round_decimals)
     if method == "n_day":
+        if min_activity_threshold != 1:
+            raise ValueError("n_day retention counts any activity; min_activity_threshold must be 1")
         return nday_retention(log, retention_periods, round_decimals=round_decimals)
     raise ValueError(f"method {method!r} is not one of {METHODS}")
 

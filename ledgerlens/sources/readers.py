@@ -26,7 +26,8 @@ def read_table(
 ) -> DataFrame:
     """Read files or folders. A schema saves the inference pass over text files.
 
-    JSON is read as an array of records per file; pass ``multiLine=False`` for JSON Lines.
+    JSON is read as an array of records per file; pass ``multiLine=False`` for JSON Lines. CSV texts may
+    hold line breaks inside quotes; pass ``multiLine=False`` for files without, which are then split among tasks.
     """
     first = path if isinstance(path, str) else path[0]
     kind = detect_format(first, file_format)
@@ -40,6 +41,7 @@ def read_table(
             "sep": "\t" if kind == "tsv" else ",",
             "quote": '"',
             "escape": '"',
+            "multiLine": True,
             "inferSchema": schema is None,
         }
         df = reader.options(**{**defaults, **options}).csv(path)

@@ -12,6 +12,14 @@ from ledgerlens.operators.quality import upload_report
 from ledgerlens.sources import files
 from ledgerlens.sources.readers import detect_format, read_table
 
+# How CSV and TSV keep every text: outer blanks stay, an empty text is "" and null is \N.
+CSV_TEXT = {
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
@@ -64,9 +72,7 @@ def save_table(
         writer.option("compression", compression or "none").json(path)
     else:
         sep = "\t" if kind == "tsv" else ","
-        writer.options(
-            header=True, sep=sep, quote='"', escape='"', compression=compression or "none"
-        ).csv(path)
+        writer.options(**CSV_TEXT, header=True, sep=sep, emptyValue='""', compression=compression or "none").csv(path)
     found = seen.get
     empty = [c for i, c in enumerate(df.columns) if found[f"n{i}"] == 0]
     sidecar(df, path, kind, found["rows"], empty, metadata).coalesce(1).write.mode(mode).json(
@@ -97,7 +103,7 @@ def read_back(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
     """Read what ``save_table`` wrote."""
     options = {"multiLine": False} if kind == "json" else {}
     if kind in ("csv", "tsv"):
-        options["enforceSchema"] = False
+        options |= {**CSV_TEXT, "emptyValue": "", "multiLine": True, "enforceSchema": False}
     return read_table(spark, path, kind, schema, **options)
 
 
@@ -164,6 +170,8 @@ def ingest_batch(
 ) -> DataFrame:
     """Admit the files of a folder, land them, validate, process, save; return the report row.
 
+    rejected_files lists every file that was left out, with its size and the reason.
+
     A folder without rejected files is read as a folder; otherwise the paths of the admitted
     ones, not their contents, pass through the driver.
     """
@@ -191,4 +199,6 @@ def ingest_batch(
         raise ValueError(f"{source} failed validation: {report.first()['errors']}")
     out = process_upload(landed) if process else landed
     path = save_table(out, out_folder, name, "parquet")
-    return report.select("*", F.lit(path).alias("saved_to"))
+    turned_down = F.struct("path", "size_bytes", F.coalesce("reason", F.lit("other format")).alias("reason"))
+    rejected = checked.agg(F.collect_list(F.when(~F.col("admitted"), turned_down))).scalar()
+    return report.select("*", F.lit(path).alias("saved_to"), rejected.alias("rejected_files"))

@@ -233,7 +233,10 @@ def kpi_dashboard(spark, d):
 
 @query(
     "kpi_minimal",
-    ALL + "SELECT * FROM k WHERE category <> 'financial' OR kpi IN ('revenue', 'profit', 'profit_margin')",
+    ALL + "SELECT * FROM k WHERE (category = 'financial' AND kpi IN ('revenue', 'profit', 'profit_margin'))"
+    " OR (category = 'operational' AND kpi IN ('transactions', 'avg_transaction_value'))"
+    " OR (category = 'product' AND kpi IN ('total_products', 'high_performers'))"
+    " OR (category = 'sales' AND kpi IN ('total_sales', 'conversion_rate'))",
 )
 def kpi_minimal(spark, d):
     return K.in_format(dashboard(spark, d), form="minimal")
@@ -271,15 +274,14 @@ CHANGED = (
 @query(
     "kpi_highlights",
     CHANGED + """
-SELECT 'financial' AS category, 'revenue' AS kpi, 'low' AS priority, 'Revenue moved' AS title,
-       ROUND(change, 6) AS measured, CAST(-100 AS DOUBLE) AS "limit"
-FROM compared WHERE measure = 'revenue' AND change > -100""",
+SELECT 'financial' AS category, 'revenue' AS kpi, 'positive' AS priority, 'Revenue up vs previous period' AS title,
+       ROUND(change, 6) AS measured, CAST(10 AS DOUBLE) AS "limit"
+FROM compared WHERE measure = 'revenue' AND change > 10""",
 )
 def kpi_highlights(spark, d):
-    """A rule on the change of revenue against the year before."""
+    """The fixed highlights over the financial KPIs compared with the year before."""
     kpis = K.financial_kpis(performance(spark, d), compared(spark, d))
-    rule = ("financial", "revenue", "change", ">", -100.0, "low", "Revenue moved")
-    return rounded(K.apply_rules(kpis, [rule]), "measured")
+    return rounded(K.apply_rules(kpis, K.HIGHLIGHTS), "measured")
 
 
 @query(

@@ -145,3 +145,26 @@ def stream_period_revenue(spark, d):
         F.col("min_revenue").cast("double").alias("min_revenue"),
         F.col("max_revenue").cast("double").alias("max_revenue"),
     )
+
+
+ODD_TEXT = """
+  CASE doc_id % 6 WHEN 0 THEN '  ' || text WHEN 1 THEN text || '  ' WHEN 2 THEN '' WHEN 3 THEN NULL
+    WHEN 4 THEN '"' || text || '", and so on' ELSE text || chr(10) || chr(9) || source END"""
+
+
+def _text_round_trip(spark, d, kind):
+    docs = table(spark, d, "documents").select("doc_id", F.expr(ODD_TEXT).alias("text"))
+    path = sinks.save_table(docs, scratch_path(spark, f"texts-{kind}"), "documents", kind)
+    return sinks.read_back(spark, path, kind, docs.schema)
+
+
+@query("sink_texts_csv", f"SELECT doc_id, {ODD_TEXT} AS text FROM documents")
+def sink_texts_csv(spark, d):
+    """Texts with outer blanks, quotes and line breaks, empty ones and nulls, written to CSV and read back."""
+    return _text_round_trip(spark, d, "csv")
+
+
+@query("sink_texts_tsv", f"SELECT doc_id, {ODD_TEXT} AS text FROM documents")
+def sink_texts_tsv(spark, d):
+    """The same through TSV."""
+    return _text_round_trip(spark, d, "tsv")

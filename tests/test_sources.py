@@ -166,3 +166,20 @@ def test_closed_periods_are_appended(spark, folder):
     got = {str(r["period_start"])[:10]: r["total_revenue"] for r in spark.read.parquet(f"{folder}/out").collect()}
     # The row of 1 January that came with the second file is later than the watermark allows.
     assert got["2026-01-01"] == 12.0
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    rows = [(1, "  lead"), (2, "trail  "), (3, ""), (4, None), (5, 'a "quote", and, commas'), (6, "two\nlines"), (7, "tab\tin")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    for kind in ("csv", "tsv"):
+        path = sinks.save_table(df, str(tmp_path), "t", kind)
+        got = sinks.read_back(spark, path, kind, df.schema)
+        assert sorted(tuple(r) for r in got.collect()) == rows
+
+
+def test_dates_as_people_write_them(spark):
+    from ledgerlens.functions.text import parse_date
+
+    texts = ["2026-01-05T10:00:00", "2026-01-05T10:00:00.123Z", "2026-01-05 10:00", "2026-01-05 10:00:00.5", "1/5/2026", "oops", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_date(F.col("t")).cast("date").cast("string").alias("d"))
+    assert [r["d"] for r in df.collect()] == ["2026-01-05"] * 5 + [None, None]
