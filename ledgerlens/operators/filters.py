@@ -53,7 +53,9 @@ def in_period(df: DataFrame, date_column: str, period: str, anchor: str | None =
     when = date_of(df, date_column)
     day = when.cast("date")
     if anchor is None:
-        last = df.agg(F.max(day).alias("d")).scalar()
+        # Read first and put in as a literal, so that the bounds reach the scan.
+        found = df.agg(F.max(day)).first()[0]
+        last = F.lit(found).cast("date")
     else:
         last = F.lit(anchor).cast("date")
     return df.filter(when >= window_start(period, last)).filter(day <= last)

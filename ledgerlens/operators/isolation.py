@@ -7,10 +7,12 @@ method asks; every row of the table is then scored against the merged steps.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerlens.plans.groups import largest_group
@@ -18,6 +20,9 @@ from ledgerlens.plans.ordered import running_sum
 from ledgerlens.plans.quantiles import quantiles
 from ledgerlens.session import cut_lineage
 
+# The functions of this module travel by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 SAMPLE = 256
 SEED = 42

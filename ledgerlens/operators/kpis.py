@@ -295,8 +295,8 @@ def daily_profit(
     p = check_period(period, "D")
     day = F.col(date_column).cast("date")
     if days is not None:
-        last = df.agg(F.max(day)).scalar()
-        df = df.filter(day > F.date_sub(last, days))
+        last = F.lit(df.agg(F.max(day)).first()[0]).cast("date")
+        df = df.filter(F.col(date_column) >= F.date_sub(last, days - 1))
     by = df.filter(day.isNotNull()).groupBy(period_start(day, p).alias("date")).agg(
         F.sum(revenue).alias("revenue"), F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("transactions")
     )

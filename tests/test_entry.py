@@ -82,3 +82,11 @@ def test_large_groups_give_the_same_anomalies(spark, sf, monkeypatch):
         got = run(method)
         assert [r["is_anomaly"] for r in got] == [r["is_anomaly"] for r in want]
         assert [r["anomaly_score"] for r in got] == pytest.approx([r["anomaly_score"] for r in want], abs=1e-3)
+
+
+def test_date_windows_reach_the_scan(spark, sf, capsys):
+    for name in ("sales_summary_90d", "kpi_daily_30d"):
+        entry.queries()[name](spark, sf).explain("formatted")
+        plan = capsys.readouterr().out
+        pushed = " ".join(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+        assert "GreaterThanOrEqual(o_orderdate" in pushed or "GreaterThanOrEqual(l_shipdate" in pushed, name
