@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlens.functions.numeric import (
     is_numeric, numeric_columns, percent, require_columns, string_columns,
@@ -19,10 +21,22 @@ STRATEGIES = (
     "drop", "fill_mean", "fill_median", "fill_mode", "fill_forward", "fill_backward",
     "fill_interpolate", "fill_constant", "fill_zero", "keep",
 )
+# Columns counted in one pass; a grouping set is told apart by one bit for each column.
+MODES = 32
+
+
+def _present(df: DataFrame, column: str) -> Column:
+    """Whether a cell holds a value; NaN is none."""
+    c = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        return c.isNotNull() & ~F.isnan(c)
+    return c.isNotNull()
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop(how="all")
+    if not df.columns:
+        return df
+    return df.filter(reduce(or_, [_present(df, c) for c in df.columns]))
 
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -56,7 +70,9 @@ def strip_names(df: DataFrame) -> DataFrame:
 
 def strip_values(df: DataFrame) -> DataFrame:
     """Strip white space from text cells."""
-    return df.withColumns({c: strip(F.col(c)) for c in string_columns(df)})
+    texts = set(string_columns(df))
+    cells = [(c, F.col(f"`{c}`")) for c in df.columns]
+    return df.select(*[strip(cell).alias(c) if c in texts else cell for c, cell in cells])
 
 
 def drop_nulls(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -66,10 +82,17 @@ def drop_nulls(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.drop(*sparse).na.drop(how="any")
 
 
-def most_frequent(df: DataFrame, column: str):
-    """The most frequent value, the smallest of several, as a scalar subquery."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc(column)).limit(1).select(column).scalar()
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The most frequent value of each column, the smallest of several, as one scalar subquery.
+
+    All columns are counted in one scan and one shuffle; a row of a grouping set holds its own column only.
+    The struct's fields are m0, m1, ... in the order of the columns, each (-count, value).
+    """
+    names = [f"m{i}" for i in range(len(columns))]
+    cells = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    counts = cells.groupingSets([[n] for n in names], *names).agg(F.count(F.lit(1)).alias("n"))
+    best = [F.min(F.when(F.col(n).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(n).alias("v")))) for n in names]
+    return counts.agg(F.struct(*[b.alias(n) for b, n in zip(best, names, strict=True)]).alias("s")).scalar()
 
 
 def _fill_with_statistics(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
@@ -107,8 +130,11 @@ def fill_nulls(
     if strategy in ("fill_mean", "fill_median"):
         return _fill_with_statistics(df, columns, strategy)
     if strategy == "fill_mode":
-        modes = {c: F.coalesce(F.col(c), most_frequent(df, c)) for c in columns}
-        return df.withColumns(modes)
+        for k in range(0, len(columns), MODES):
+            some = columns[k : k + MODES]
+            filled = {c: F.coalesce(F.col(c), F.col("__modes")[f"m{i}"]["v"]) for i, c in enumerate(some)}
+            df = df.withColumn("__modes", most_frequent(df, some)).withColumns(filled).drop("__modes")
+        return df
     if strategy in ("fill_forward", "fill_backward", "fill_interpolate"):
         if not order_by:
             raise ValueError(f"{strategy} needs order_by")
@@ -169,10 +195,15 @@ class CleaningOptions:
     duplicate_keep: str | bool = "first"
     mark_duplicates_only: bool = False
     order_by: Sequence[str] = ()
+    validate: bool = True
 
 
 def clean_data(df: DataFrame, options: CleaningOptions | None = None, **switches) -> DataFrame:
-    """Empty rows, empty columns, names, white space, nulls, duplicates - in that order."""
+    """Empty rows, empty columns, names, white space, nulls, duplicates - in that order.
+
+    With ``validate``, a table that the steps before the duplicates leave without a row or a column is an
+    error; looking for one row there needs no shuffle.
+    """
     o = options or CleaningOptions(**switches)
     if o.remove_empty_rows:
         df = drop_empty_rows(df)
@@ -190,6 +221,8 @@ def clean_data(df: DataFrame, options: CleaningOptions | None = None, **switches
         column_strategies=o.column_specific_strategies,
         order_by=o.order_by,
     )
+    if o.validate:
+        validate_cleaned(df)
     if o.mark_duplicates_only:
         return dedup.mark_duplicates(df, o.duplicate_subset, o.duplicate_keep, o.order_by)
     if o.drop_duplicates:

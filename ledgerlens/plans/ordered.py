@@ -28,8 +28,13 @@ def fits_one_task(
 
 
 def sliced(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Rows in contiguous ranges of (group, order), with the number of the range written down."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*partition_by, *order_by)])
+    """Rows in contiguous ranges of (group, order), with the number of the range written down.
+
+    There are as many ranges as keep each below TASK_ROWS, however few partitions the session shuffles into.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (TASK_ROWS // 2 or 1)))
+    ranged = df.repartitionByRange(ranges, *[F.col(c) for c in (*partition_by, *order_by)])
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 

@@ -272,20 +272,23 @@ def constraint_unique(spark, d):
     )
 
 
-BIG_ORDERS = "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000"
+LABELLED = "SELECT doc_id FROM labels WHERE doc_id IS NOT NULL"
 
 
-@query("foreign_key_orphans", f"SELECT * FROM lineitem WHERE l_orderkey NOT IN ({BIG_ORDERS})")
+def texts_of(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("foreign_key_orphans", f"SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id NOT IN ({LABELLED})")
 def foreign_key_orphans(spark, d):
-    """Lines whose order is not among the orders above a price."""
-    parents = table(spark, d, "orders").filter(F.col("o_totalprice") > 100000)
-    return Q.orphans(items(spark, d), "l_orderkey", parents, "o_orderkey")
+    """Documents without a label."""
+    return Q.orphans(texts_of(spark, d), "doc_id", table(spark, d, "labels"), "doc_id")
 
 
-@query("foreign_key_valid", f"SELECT * FROM lineitem WHERE l_orderkey IN ({BIG_ORDERS})")
+@query("foreign_key_valid", f"SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN ({LABELLED})")
 def foreign_key_valid(spark, d):
-    parents = table(spark, d, "orders").filter(F.col("o_totalprice") > 100000)
-    return Q.valid_references(items(spark, d), "l_orderkey", parents, "o_orderkey")
+    """Documents with a label."""
+    return Q.valid_references(texts_of(spark, d), "doc_id", table(spark, d, "labels"), "doc_id")
 
 
 # Text columns as exports write them, built alike on both sides.

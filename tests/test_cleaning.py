@@ -64,6 +64,31 @@ def test_column_strategies(people):
     assert column(out, "age")[1] == 0 and column(out, "salary")[2] is None
 
 
+def test_modes_of_many_columns_at_once(spark, monkeypatch):
+    rows = [("b", 2, 1.0), ("a", 2, None), (None, None, 1.0), ("a", 1, 3.0), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "s string, n int, f double")
+    for at_once in (32, 2):
+        monkeypatch.setattr(C, "MODES", at_once)
+        out = C.fill_nulls(df, ["s", "n", "f"], "fill_mode").collect()
+        assert tuple(out[2]) == ("a", 1, 1.0) and [r["f"] for r in out] == [1.0, 1.0, 1.0, 3.0, 1.0]
+    empty = C.fill_nulls(df.withColumn("e", F.lit(None).cast("int")), ["e"], "fill_mode")
+    assert [r["e"] for r in empty.collect()] == [None] * 5
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(" a ", 1, None), (None, None, None)], "`x.y` string, `n.` int, `e.f` double")
+    out = C.process_upload(df)
+    assert out.columns == ["xy", "n"] and [tuple(r) for r in out.collect()] == [("a", 1)]
+    assert C.drop_empty_rows(spark.createDataFrame([(float("nan"),), (1.0,)], "`a.b` double")).count() == 1
+
+
+def test_cleaning_that_leaves_nothing_is_an_error(spark):
+    df = spark.createDataFrame([(1, None), (None, 2)], "a int, b int")
+    with pytest.raises(ValueError):
+        C.clean_data(df, null_strategy="drop", null_threshold=0.9)
+    assert C.clean_data(df, null_strategy="drop", null_threshold=0.9, validate=False).count() == 0
+
+
 def test_name_collisions_raise(spark):
     df = spark.createDataFrame([(1, 2)], "`a b` int, `A_b` int")
     with pytest.raises(ValueError):

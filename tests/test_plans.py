@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import ordered
 from ledgerlens.plans.calendar import dense
 from ledgerlens.plans.groups import ROWS, attach, with_totals
 from ledgerlens.plans.ordered import fill_ordered, moving, positions, running_sum
@@ -36,6 +37,12 @@ def test_running_sum(rows, by):
     assert pairs(a, "id", "s") == pairs(b, "id", "s")
 
 
+def test_slices_grow_with_the_rows(rows, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    sizes = ordered.sliced(rows, ["g"], ["id"]).groupBy(ordered.SLICE).count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 100
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_positions(rows, by):
     kw = dict(order_by=["id"], partition_by=by)
