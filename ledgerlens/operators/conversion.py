@@ -10,7 +10,6 @@ from ledgerlens.functions.numeric import percent, require_columns, string_column
 from ledgerlens.functions.text import (
     clean_email, digits_only, parse_currency, parse_date, simple_name, standard_name,
 )
-from ledgerlens.plans.groups import BROADCAST_ROWS
 
 TYPES = ("int", "float", "str", "datetime", "bool", "category")
 
@@ -136,9 +135,7 @@ def expected_columns(df: DataFrame, expected: Sequence[str], strict: bool = Fals
 
 
 def map_values(df: DataFrame, column: str, mapping: dict) -> DataFrame:
-    """Replace values by a mapping; others stay. Large mappings become a broadcast join."""
-    if len(mapping) > BROADCAST_ROWS:
-        raise ValueError("a mapping this large belongs into a table: use map_values_table")
+    """Replace values by a mapping; others stay. A mapping of many entries becomes a table and a join."""
     if len(mapping) > 200:
         pairs = df.sparkSession.createDataFrame(list(mapping.items()), ["__from", "__to"])
         return map_values_table(df, column, pairs)
@@ -148,10 +145,11 @@ def map_values(df: DataFrame, column: str, mapping: dict) -> DataFrame:
 
 
 def map_values_table(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
-    """Replace values by a two-column table (from, to) with unique sources."""
+    """Replace values by a two-column table (from, to) with unique sources.
+
+    A plain equi-join: Spark broadcasts the table if its bytes allow it, and splits a hot value otherwise.
+    """
     source, target = pairs.columns
-    if pairs.count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
     joined = df.join(pairs, df[column] == pairs[source], "left")
     return joined.withColumn(column, F.coalesce(F.col(target), F.col(column))).select(*df.columns)
 
