@@ -9,9 +9,9 @@ lengths, so any document, and any stretch of ids, is decoded without the rest.
 Files: `shards` (Parquet; part, seq, before = ids of earlier shards of the part, n_tokens, doc_ids, lengths,
 rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts` (part, start).
 
-Encoding is the tokenizers library's. A single blank between two characters that are not white space always
-starts a new piece of byte-level pre-tokenisation, so texts are cut there and each different piece is
-encoded once in a task for as long as it is kept.
+Encoding is the tokenizers library's. Byte-level pre-tokenisation always starts a new piece at a single blank or
+line break between two characters that are not white space, and at a full stop or comma behind a letter or digit;
+texts are cut there and each different piece is encoded once in a task for as long as it is kept.
 
 Defined cases: null text is empty; every document ends with the end id; equal ids are ordered by text hash,
 null ids come first; no pair crosses the end of a document; an empty table writes empty files. A shard
@@ -43,9 +43,15 @@ RULES = 2048
 LEAST = 16
 #: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
 KEPT_PIECES, KEPT_CHARS = 300_000, 64
-_LEARN, _JOINED = 8192, 32
+_LEARN, _JOINED = 8192, 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S\n ]|\x00")
+# White space other than the blank and the line break, and the mark used for cutting.
+_OTHER_SPACE = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Digits and letters that all versions of Unicode agree on.
+_PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
+_STARTS = (" ", "\n")
+_STOP = re.compile(f"(?<=[{_PLAIN}])(?=[.,])")
+_OTHER_STOP = re.compile(f"[.,](?<=[^{_PLAIN}][.,])")
 
 
 def cut(text: str) -> list[str]:
@@ -54,7 +60,14 @@ def cut(text: str) -> list[str]:
         out = _CUT.split(text)
         out[1:] = [" " + x for x in out[1:]]
         return out
-    return text.replace(" ", "\0 ").split("\0")  # every blank stands alone
+    # Every blank stands alone, and so does every line break where no two follow each other.
+    if text[:1] in (".", ",") or _OTHER_STOP.search(text):
+        text = _STOP.sub("\0", text)
+    else:
+        text = text.replace(".", "\0.").replace(",", "\0,")
+    if "\n\n" not in text:
+        text = text.replace("\n", "\0\n")
+    return text.replace(" ", "\0 ").split("\0")
 
 
 @functools.cache
@@ -67,9 +80,11 @@ def _tokenizer(file: str) -> tuple[Tokenizer, np.ndarray]:
     return tokenizer, sizes
 
 
-def _alone(piece: str) -> bool:
-    """Whether a piece must not be joined to others: it begins or ends with more than its one blank."""
-    return len(piece) < 2 or piece[0] != " " or piece[1].isspace() or piece[-1].isspace()
+def _utf8_ends(pieces: list[str]) -> np.ndarray:
+    """Where each piece ends in the bytes of all on end."""
+    points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+    stops = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+    return stops[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1]
 
 
 class Encoder:
@@ -108,18 +123,18 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many in one string; the ids' bytes tell where a piece ends."""
-        alone = [x for x in pieces if _alone(x)]
+        # One blank or line break in front and no other white space at the ends: the piece may stand between others.
+        joinable = [x for x in pieces if x[:1] in _STARTS and x.strip() == x[1:] != ""]
+        alone = sorted(set(pieces).difference(joinable))
         if alone:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.add(alone, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
-        pieces = [x for x in pieces if not _alone(x)] if alone else pieces
-        if pieces:
+        if pieces := joinable:
             joined = ["".join(pieces[k : k + _JOINED]) for k in range(0, len(pieces), _JOINED)]
             ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
             flat = np.concatenate(ids)
-            ends = np.cumsum(np.fromiter((len(x.encode()) for x in pieces), np.int64, len(pieces)))
-            stops = np.searchsorted(np.cumsum(self.bytes_of[flat]), ends) + 1
+            stops = np.searchsorted(np.cumsum(self.bytes_of[flat]), _utf8_ends(pieces)) + 1
             self.add(pieces, flat, np.diff(np.concatenate([[0], stops])))
 
     def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -151,9 +166,9 @@ class Encoder:
             for k in range(0, len(new), _LEARN):  # the library's results are large
                 self.learn(new[k : k + _LEARN])
             at[miss] = [self.place[pieces[i]] for i in miss]
-            for i in miss:
-                if len(pieces[i]) > KEPT_CHARS:
-                    self.place.pop(pieces[i], None)
+            for x in new:
+                if len(x) > KEPT_CHARS:
+                    del self.place[x]
         seen = np.bincount(at, minlength=self.count)
         seen[: len(self.seen)] += self.seen
         self.seen = seen
@@ -166,10 +181,12 @@ def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, rules: int =
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
     seq, grammar = ids.astype(np.uint32), []
     base = symbol = int(ids.max(initial=0)) + 1
+    # A pair is one number, of 32 bits where all symbols fit into 16.
+    key, bits = (np.uint32, 16) if base + rounds * rules <= 1 << 16 else (np.uint64, 32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        keys = seq[:-1].astype(key) << key(bits) | seq[1:]
         inside = (seq[:-1] != end) & (seq[1:] != end)
         ordered = np.sort(keys[inside])
         if not len(ordered):
@@ -198,13 +215,16 @@ def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, rules: int =
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-        grammar.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        grammar.append(np.stack([chosen >> key(bits), chosen & key((1 << bits) - 1)], axis=1).astype(np.uint32))
         symbol += len(chosen)
     pairs = np.concatenate(grammar) if grammar else np.empty((0, 2), np.uint32)
     return np.concatenate([[[base, 0]], pairs]).astype(np.uint32), seq
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bits."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
     return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
 
 
