@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ledgerlens.llm.prefix import PrefixHash, mixed
 from ledgerlens.llm.rows import quoted, small_batches
@@ -47,8 +48,11 @@ class Fingerprint:
         self.sketch = np.unique(order)[:sketch]
         self.size = sketch
 
+    def __bytes__(self) -> bytes:
+        return self.whole.to_bytes(8, "big") + self.sketch.astype(">u4").tobytes()
+
     def __str__(self) -> str:
-        return f"{self.whole:016x}" + "".join(f"{x:08x}" for x in self.sketch.tolist())
+        return bytes(self).hex()
 
     def likeness(self, other: Fingerprint) -> float:
         return likeness(self.sketch, other.sketch, self.size)
@@ -78,13 +82,14 @@ def edited(text: str, following: str) -> str:
 def compared(text: str, mark: Fingerprint, following: str, next_mark: Fingerprint) -> tuple:
     new = edited(text, following)
     changed = Fingerprint(new)
-    digest = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
+    digest = hashlib.sha256(new.encode("utf-8", "replace")).digest()
     shared = mark.hashes.extension(0, changed.hashes, 0)
-    return len(text), digest, str(mark), str(changed), mark.likeness(changed), mark.likeness(next_mark), shared
+    return len(text), digest, bytes(mark), bytes(changed), mark.likeness(changed), mark.likeness(next_mark), shared
 
 
-_OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_start long"
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+# Hashes are bytes on the way, half as long as their digits in a written table.
+_OUT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, shared_start long"
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64())
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
@@ -130,7 +135,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     walked = cut_lineage(ranged.mapInArrow(run, f"doc_id {id_type}, {_OUT}, part int, edge int, body string"), "fingerprints")
-    done = walked.where("edge is null").select("doc_id", *_NAMES)
+    digits = [F.lower(F.hex(f.name)).alias(f.name) if f.dataType == BinaryType() else f.name for f in walked.schema if f.name in _NAMES]
+    done = walked.where("edge is null").select("doc_id", *digits)
 
     # At most one first and one last document for each task.
     places = sorted(r["part"] for r in walked.where("edge = 0").select("part").collect())
@@ -146,4 +152,5 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             rows = [compared(a, Fingerprint(a), b, Fingerprint(b)) for a, b in zip(bodies, others, strict=True)]
             yield _batch(keys, batch.schema.field(0).type, rows, [])
 
-    return done.union(last.select("doc_id", "body", "following").mapInArrow(meet, f"doc_id {id_type}, {_OUT}"))
+    met = last.select("doc_id", "body", "following").mapInArrow(meet, f"doc_id {id_type}, {_OUT}")
+    return done.union(met.select("doc_id", *digits))
