@@ -2,14 +2,16 @@
 
 Base patterns find emails, ip addresses, card and phone numbers: the protected entities. Corpus
 co-occurrence then tells which terms reveal them. With N documents, n(e) and n(t) of them holding entity e and
-term t, and n(t, e) of them holding t near e,
+term t, and n(t, e) of them holding t near e in c(t, e) different contexts,
 
-    disclosure(t, e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e))
+    disclosure(t, e) = log2((1 - D / c(t, e)) n(t, e) N / (n(t) n(e))) / log2(N / n(e))
 
-is the share of e's information that t gives away: 1 if t only ever occurs near e, 0 if t is independent
-of e. Terms near an entity in at least MIN_CONTEXTS different contexts are removed if their disclosure
-reaches REMOVE and generalised if it reaches GENERALISE, wherever they occur. Copies of one passage are one
-context, so mere duplication reveals nothing.
+is the share of e's information that t gives away: nearly 1 if t only ever occurs near e, 0 if t is independent
+of e. D is the absolute discount of pairs seen seldom, n1 / (n1 + 2 n2) with n1 pairs seen in one context and
+n2 in two (Ney's estimate): entities mentioned once or twice are scored too, the lower the less pairs come back
+in this corpus, and not at all where none does (D = 1). Terms are removed if their disclosure reaches REMOVE
+and generalised if it reaches GENERALISE, wherever they occur. Copies of one passage are one context, so
+duplication reveals no more than one mention does.
 
 Matches of each kind are leftmost and do not overlap; one that fails its check is dropped and not retried.
 Offsets are code points. Defined cases: null text is empty and has no spans; entities in every document
@@ -33,7 +35,6 @@ from ledgerlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 8
-MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.5, 0.8
 #: Terms sent to tasks at once.
 BLOCK_TERMS = 500_000
@@ -156,7 +157,6 @@ def disclosing_terms(
     docs: DataFrame,
     text: str = "text",
     reach: int = REACH,
-    min_contexts: int = MIN_CONTEXTS,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
     block_terms: int = BLOCK_TERMS,
@@ -169,10 +169,17 @@ def disclosing_terms(
     pairs = near.where("term is not null").groupBy("entity", "term").agg(
         F.countDistinct("context").alias("contexts"), F.sum("first").alias("n_te")
     )
-    pairs = cut_lineage(pairs.where(F.col("contexts") >= min_contexts), "entity-pairs")
+    pairs = cut_lineage(pairs, "entity-pairs")
+    seen = pairs.agg(*(F.count_if(F.col("contexts") == k).alias(f"n{k}") for k in (1, 2))).first()
+    discount = seen["n1"] / max(1, seen["n1"] + 2 * seen["n2"])
+    left = F.lit(1.0) - F.lit(discount) / F.col("contexts")
+    worth = F.log2(F.lit(float(total)) / F.col("n_e"))
+    pairs = pairs.where(left > 0).join(entities.where(F.col("n_e") < total), "entity")
+    # A term occurs in n_te documents at least, so pairs that cannot reach the threshold need no count.
+    pairs = cut_lineage(pairs.where(F.log2(left) >= (generalise - 1) * worth - 1e-9), "entity-candidates")
     known = document_counts(docs, text, pairs.select("term").distinct(), block_terms)
-    share = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    scored = pairs.join(known, "term").join(entities, "entity").where(F.col("n_e") < total)
+    share = F.log2(left * F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / worth
+    scored = pairs.join(known, "term")
     scored = scored.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return scored.withColumn("action", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")))
 

@@ -554,6 +554,35 @@ def test_copies_of_a_passage_reveal_nothing(spark):
     assert pii.disclosing_terms(df).count() == 0
 
 
+@pytest.mark.parametrize("block", [pii.BLOCK_TERMS, 100])
+def test_terms_near_rare_entities(spark, block):
+    """Entities mentioned once or twice, against the estimate in plain Python; copies are no more than one mention."""
+    rng = np.random.default_rng(5)
+    common = ["river", "house", "green", "people", "story", "number", "letter", "paper"]
+    say = lambda n: " ".join(rng.choice(common, n))
+    twice = [f"{say(2)} Kinshasa {say(3)} eve@mail.org {say(4)}" for _ in range(2)]
+    texts = [*twice, f"{say(3)} Timbuktu {say(2)} +49 30 1234 5678 {say(3)}", *[f"{say(3)} Xanadu {say(2)} 10.0.0.1 {say(3)}"] * 6]
+    texts += [say(12) for _ in range(1500)]
+    contexts, n_te, n_e = defaultdict(set), Counter(), Counter()
+    for text in texts:
+        for a, _, b in plain_pii(text):
+            words = re.findall(r"[^\W\d_]{4,}", text[:a].lower())[-8:] + re.findall(r"[^\W\d_]{4,}", text[b:].lower())[:8]
+            n_e[text[a:b]] += 1
+            for w in set(words):
+                contexts[text[a:b], w].add(" ".join(words))
+                n_te[text[a:b], w] += 1
+    sizes = Counter(map(len, contexts.values()))
+    d, want = sizes[1] / (sizes[1] + 2 * sizes[2]), {}
+    for (e, w), c in contexts.items():
+        n_t = sum(w in t.lower().split() for t in texts)
+        value = np.log2((1 - d / len(c)) * n_te[e, w] * len(texts) / (n_t * n_e[e])) / np.log2(len(texts) / n_e[e])
+        if value >= 0.5:
+            want[w] = max(value, want.get(w, 0))
+    got = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string"), block_terms=block).collect()}
+    assert got == pytest.approx(want) and set(got) == {"kinshasa", "timbuktu", "xanadu"}
+    assert got["kinshasa"] > got["timbuktu"] > got["xanadu"]
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 PAGES = {
