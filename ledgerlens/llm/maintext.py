@@ -4,6 +4,8 @@ The standard library's parser streams events; block elements cut the page into l
 and the number of tags seen in it. The ratio of text to tags is smoothed along the page with a Gaussian, and
 two-means clustering of the smoothed ratios gives the threshold above which a line is content. Content lines
 select a region: the article or main element, or else the smallest container, that holds most of their text.
+Where several such elements hold content, it is the smallest container around them all, unless one holds most of
+the text and the others' lines lie below the threshold on the whole, weighed by their text.
 The text of the region is all of its lines, short ones too, but for those inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +158,11 @@ def threshold(values: np.ndarray) -> float:
         low, high = means
 
 
-def region(page: Lines, content: np.ndarray) -> int:
-    """Number of the container that holds the article; 0 is the whole page."""
+def region(page: Lines, content: np.ndarray, gain: np.ndarray) -> int:
+    """Number of the container that holds the article; 0 is the whole page.
+
+    gain is each line's distance from the threshold times the length of its text.
+    """
     held: dict[int, int] = {0: 0}
     depth: dict[int, int] = {0: 0}
     for (text, _, path, _), chosen in zip(page.lines, content, strict=True):
@@ -165,13 +171,26 @@ def region(page: Lines, content: np.ndarray) -> int:
             for level, number in enumerate(path, 1):
                 held[number] = held.get(number, 0) + len(text)
                 depth[number] = level
-    for kinds in (("article",), ("main",)):
-        found = [n for n in held if page.kinds[n] in kinds]
-        if found:
-            return max(found, key=lambda n: (held[n], depth[n]))
+    for kind in ("article", "main"):
+        outer: dict[int, tuple[int, ...]] = {}  # the outermost elements of the kind that hold content, and what they lie in
+        for (_, _, path, _), chosen in zip(page.lines, content, strict=True):
+            at = next((k for k, n in enumerate(path) if page.kinds[n] == kind), None) if chosen else None
+            if at is not None:
+                outer[path[at]] = path[:at]
+        if sum(held[n] for n in outer) < COVER * held[0]:
+            continue
+        one = max((n for n in held if page.kinds[n] == kind), key=lambda n: (held[n], depth[n]))
+        around = (0, *commonprefix(list(outer.values())))[-1]
+        if len(outer) > 1 and (held[one] < COVER * held[0] or _gained(page, gain, around) >= _gained(page, gain, one)):
+            return around
+        return one
     return max((n for n in held if held[n] >= COVER * held[0]), key=lambda n: depth[n])
 
 
+def _gained(page: Lines, gain: np.ndarray, at: int) -> float:
+    return sum(g for (_, _, path, outside), g in zip(page.lines, gain.tolist(), strict=True) if not outside and (not at or at in path))
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The text of the article, blocks joined by line breaks."""
     page = parsed(html or "")
@@ -179,8 +198,10 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not own.any():
         return ""
     smooth = ratios(page.lines, sigma)
-    content = own & (smooth >= threshold(smooth[own]))
-    at = region(page, content if content.any() else own)
+    above = smooth - threshold(smooth[own])
+    content = own & (above >= 0)
+    gain = above * np.array([len(text) for text, _, _, _ in page.lines])
+    at = region(page, content if content.any() else own, gain)
     return "\n".join(text for text, _, path, outside in page.lines if not outside and (not at or at in path))
 
 

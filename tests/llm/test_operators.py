@@ -612,6 +612,28 @@ def test_main_text(spark):
     assert maintext.extract(empty(df)).count() == 0
 
 
+def _told(name, n):
+    return " ".join(f"{name} tells what happened on day {k} of the long journey." for k in range(n))
+
+
+PARTS = [_told(name, 18) for name in ("Ann", "Bob", "Eve", "Max", "Kim", "Zoe")]
+BODY, LAST = "".join(f"<p>{x}</p>" for x in PARTS[:5]), f"<p>{PARTS[5]}</p>"
+MENU = "<p><a>More</a></p><p><a>Next</a></p><p><b><a>Day</a></b></p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    pytest.param(f"<body><div class=story>{BODY * 4}</div><article>{LAST * 4}</article></body>", PARTS[:5] * 4, id="teaser article"),
+    pytest.param(f"<body><p>Top</p><main><div>{BODY}</div><article>{LAST}</article></main></body>", PARTS, id="teaser article in main"),
+    pytest.param(f"<body><p>Top</p><section><article>{BODY}</article><article>{LAST}</article></section></body>", PARTS, id="small last article"),
+    pytest.param(f"<body><p>Top</p><section><article>{BODY[: len(BODY) // 5]}</article><article>{LAST}</article></section></body>", [PARTS[0], PARTS[5]], id="two articles"),
+    pytest.param(f"<body><section><article>{BODY}{LAST}</article>{f'<article>{MENU}</article>' * 9}</section></body>", PARTS, id="cards of links"),
+    pytest.param(f"<body><p>Top</p><article>{BODY}<article>{LAST}</article></article></body>", PARTS, id="nested articles"),
+    pytest.param(f"<body><div>{MENU}</div><div>{BODY}{LAST}</div><div>{MENU}</div></body>", PARTS, id="no article"),
+])
+def test_main_text_without_a_single_article(page, want):
+    assert maintext.main_text(page) == "\n".join(want)
+
+
 def test_main_text_of_pages(spark, sf):
     """The pages' articles as a regular expression finds them."""
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
