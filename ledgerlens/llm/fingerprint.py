@@ -1,11 +1,14 @@
 """Document fingerprints from prefix polynomial hashes.
 
 The prefix arrays of a text give the hash of every span of SPAN code points; the fingerprint keeps the
-hash of the whole text and the SKETCH smallest span hashes. The likeness of two fingerprints estimates the
+hash of the whole text and the SKETCH smallest span hashes. Texts under SHORT code points have spans of
+SHORT_SPAN instead, and those from there to twice as long have a sketch of either kind, so that a text and its
+edited form, which is a third shorter at most, have a kind in common. The lowest bit of a hash tells its kind.
+Sketches are compared in the longest spans both have, and have likeness 0 without a common kind. The likeness of two fingerprints estimates the
 share of spans in common (2 J / (1 + J) of the Jaccard estimate J of the sketches). Longest common
 extensions of two texts come from the same arrays by binary search.
 
-Defined cases: null text is empty; a text shorter than a span is one span; two empty texts have likeness 1,
+Defined cases: null text is empty; a text shorter than its span is one span; two empty texts have likeness 1,
 an empty and another text 0; documents are ordered by descending id, nulls last, then by text hash, so
 repeated ids have a fixed order; a single document is its own next one.
 """
@@ -27,6 +30,7 @@ from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import cut_lineage
 
 SPAN = 16
+SHORT_SPAN, SHORT = 4, 64
 SKETCH = 64
 
 
@@ -40,13 +44,17 @@ class Fingerprint:
     def __init__(self, text: str, span: int = SPAN, sketch: int = SKETCH):
         self.hashes = PrefixHash(points(text))
         self.whole = int(self.hashes.spans(0, self.hashes.n)) if text else 0
-        spans = self.hashes.windows(min(span, self.hashes.n)) if text else np.empty(0, np.uint64)
-        order = (mixed(spans) >> np.uint64(32)).astype(np.uint32)
+        kinds = [span] * (self.hashes.n >= SHORT) + [SHORT_SPAN] * (0 < self.hashes.n < 2 * SHORT)
+        found = [self._smallest(min(n, self.hashes.n), int(n != span), sketch) for n in kinds]
+        self.sketch = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+        self.size = sketch
+
+    def _smallest(self, span: int, kind: int, sketch: int) -> np.ndarray:
+        order = (mixed(self.hashes.windows(span)) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | np.uint32(kind)
         if len(order) > 4 * sketch:
             few = np.unique(np.partition(order, 2 * sketch)[: 2 * sketch])
             order = few if len(few) >= sketch else order
-        self.sketch = np.unique(order)[:sketch]
-        self.size = sketch
+        return np.unique(order)[:sketch]
 
     def __bytes__(self) -> bytes:
         return self.whole.to_bytes(8, "big") + self.sketch.astype(">u4").tobytes()
@@ -62,6 +70,14 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Estimated share of spans that two sketches have in common, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    for kind in (0, 1):
+        x, y = a[a & 1 == kind], b[b & 1 == kind]
+        if len(x) and len(y):
+            return _shared(x, y, size)
+    return 0.0
+
+
+def _shared(a: np.ndarray, b: np.ndarray, size: int) -> float:
     union = np.union1d(a, b)[:size]
     both = np.intersect1d(a, b, assume_unique=True)
     j = float(np.isin(union, both, assume_unique=True).mean())

@@ -384,6 +384,21 @@ def test_fingerprints(odd, docs, which):
     assert 0.5 < float(np.median(long)) < 0.85
 
 
+def test_short_texts_keep_their_likeness():
+    """Against the exact share of spans for texts of every short length; the edit leaves two thirds."""
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    for n in range(9, 200):
+        text, after = letters(n), letters(n // 2 if n % 2 else 3)
+        new = fingerprint.edited(text, after)
+        kind = 16 if min(n, len(new)) >= 64 else 4
+        a, b = ({t[k : k + kind] for k in range(len(t) - kind + 1)} for t in (text, new))
+        got = fingerprint.Fingerprint(text).likeness(fingerprint.Fingerprint(new))
+        assert got == pytest.approx(2 * len(a & b) / (len(a) + len(b)), abs=0.2 if len(a | b) > 64 else 1e-9) and got > 0.3, n
+        assert fingerprint.Fingerprint(text).likeness(fingerprint.Fingerprint(text)) == 1
+        assert fingerprint.Fingerprint(text).likeness(fingerprint.Fingerprint(letters(n))) < 0.2
+
+
 def test_fingerprints_of_few_rows(spark, odd):
     assert fingerprint.compare_with_next(empty(odd)).count() == 0
     one = fingerprint.compare_with_next(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
