@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id and encoded; each task cuts its ids into shards of whole documents.
 In a shard frequent pairs of ids are repeatedly replaced by nonterminals: each round counts all pairs, makes
-the most frequent ones rules, and replaces their occurrences from left to right. A shard row of the file
+the most frequent ones rules, and replaces their occurrences from left to right, until no pair occurs LEAST
+times. A shard row of the file
 holds its rules, the expansion length of each rule, the remaining symbols, and its documents' ids and
 lengths, so any document, and any stretch of ids, is decoded without the rest.
 
@@ -38,7 +39,6 @@ from ledgerlens.session import shuffles_freed
 
 END = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 RULES = 2048
 LEAST = 16
 #: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
@@ -177,15 +177,13 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
-def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
     seq, grammar = ids.astype(np.uint32), []
     base = symbol = int(ids.max(initial=0)) + 1
-    # A pair is one number, of 32 bits where all symbols fit into 16.
-    key, bits = (np.uint32, 16) if base + rounds * rules <= 1 << 16 else (np.uint64, 32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and (rounds is None or len(grammar) < rounds):
+        # A pair is one number, of 32 bits where all symbols fit into 16.
+        key, bits = (np.uint32, 16) if symbol <= 1 << 16 else (np.uint64, 32)
         keys = seq[:-1].astype(key) << key(bits) | seq[1:]
         inside = (seq[:-1] != end) & (seq[1:] != end)
         ordered = np.sort(keys[inside])
@@ -260,7 +258,7 @@ def stretch(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, start:
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS
+    docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS, rounds: int | None = None
 ) -> str:
     """Encode the documents in ascending id order and write the files below path; the path."""
     spark = docs.sparkSession

@@ -345,6 +345,18 @@ def test_mix_is_native(docs):
 
 # 6 ------------------------------------------------------------------------------------------------
 
+def test_grammar_leaves_no_frequent_pair():
+    """A passage in thousands of copies becomes one symbol; no pair that stands often enough is left."""
+    rng = np.random.default_rng(6)
+    passage = rng.permutation(np.arange(1, 501))
+    for high in (1000, 65_000, 70_000):
+        shard = np.concatenate([np.concatenate([passage, rng.integers(600, high, 5), [0]]) for _ in range(1000)]).astype(np.uint32)
+        rules, left = tokens.compress(shard)
+        assert np.array_equal(tokens.expand(rules, left), shard) and len(left) <= 8 * 1000
+        pairs = Counter(p for p in zip(left[:-1].tolist(), left[1:].tolist()) if 0 not in p)
+        assert max(pairs.values(), default=0) < tokens.LEAST
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcé", min_size=1, max_size=60), st.text(alphabet="abcé", min_size=1, max_size=60), st.data())
 def test_prefix_hashes(a, b, data):
