@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import contamination, fingerprint, langid, maintext, mixing, pii, simhash, substrings, tokens, urls
+from ledgerlens.llm import align, contamination, fingerprint, langid, maintext, merkle, mixing, pii, secrets, simhash, substrings, tokens, urls
 from ledgerlens.llm.sql import SQL  # noqa: F401
 from ledgerlens.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 # The rules for urls.
 RULES = [
     ("allow", "com/"),
@@ -98,10 +99,33 @@ def op10_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+def tampered() -> F.Column:
+    """Texts as received: those of documents with an even checksum of the id have lost their line breaks."""
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    return F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the root that the tampered documents make."""
+    return merkle.audit(table(spark, sf_dir, "documents"), received={"text": tampered()}, carry=["doc_id"])
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in each document."""
+    return align.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES, carry=["doc_id"])
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document; a document stands for a repository, its source for the owner."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), "spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_tokens, op3_contamination, op4_substrings, op5_mix,
-        op6_fingerprints, op7_urls, op8_simhash, op9_pii, op10_maintext,
+        op6_fingerprints, op7_urls, op8_simhash, op9_pii, op10_maintext, op11_merkle, op12_align, op13_secrets,
     )
 }

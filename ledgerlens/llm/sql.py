@@ -105,4 +105,91 @@ JOIN merged m ON t.host = m.host AND t.grown = m.grown
 JOIN judged j ON m.host = j.host AND m.template = j.template
 """
 
-SQL: dict[str, str] = {"op3_contamination": OP3, "op5_mix": OP5, "op7_urls": OP7}
+OP11 = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, crc32 % 2 = 0 AS even,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head
+  FROM (
+    SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END), 4294967295) AS crc32
+    FROM documents)),
+hashed AS (
+  SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(got) || ':' || got, '-')) AS received
+  FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS got FROM doc)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id ASC NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+node(tree, lvl, pos, n, digest) AS (
+  SELECT source, 0, pos, n, leaf FROM ranked
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 3, n),
+subroot AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree ASC NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+upper(lvl, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM subroot
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n),
+step AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS prior,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS later
+  FROM node a JOIN node b ON a.tree IS NOT DISTINCT FROM b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.pos),
+upper_step AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS prior,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS later
+  FROM upper a JOIN upper b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+folded(rid, tree, lvl, pos, digest, proof) AS (
+  SELECT rid, source, 0, pos, received, '' FROM ranked
+  UNION ALL
+  SELECT f.rid, f.tree, f.lvl + 1, f.pos // 3, sha256(prior || f.digest || later), f.proof || prior || later
+  FROM folded f JOIN step s ON f.tree IS NOT DISTINCT FROM s.tree AND f.lvl = s.lvl AND f.pos = s.pos),
+at_subroot AS (
+  SELECT f.rid, s.pos, f.digest, f.proof FROM folded f JOIN node n ON f.tree IS NOT DISTINCT FROM n.tree AND f.lvl = n.lvl AND n.n = 1
+  JOIN subroot s ON s.tree IS NOT DISTINCT FROM f.tree),
+finished(rid, lvl, pos, digest, proof) AS (
+  SELECT rid, 0, pos, digest, proof FROM at_subroot
+  UNION ALL
+  SELECT f.rid, f.lvl + 1, f.pos // 3, sha256(prior || f.digest || later), f.proof || prior || later
+  FROM finished f JOIN upper_step s ON f.lvl = s.lvl AND f.pos = s.pos)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, u.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = u.digest AS verified
+FROM ranked r JOIN subroot s ON s.tree IS NOT DISTINCT FROM r.source JOIN finished f ON f.rid = r.rid JOIN upper u ON u.n = 1 AND u.lvl = f.lvl
+"""
+
+OP13 = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+pattern(kind, p) AS (VALUES
+  (0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]{16,}'), (3, '[A-Za-z0-9+_-]{12,}')),
+hits AS (
+  SELECT rid, doc_id, owner, kind, p, regexp_extract_all(text, p) AS vals, list_transform(string_split_regex(text, p), lambda x: length(x)) AS gaps FROM doc, pattern),
+each AS (SELECT rid, doc_id, owner, kind, p, i, vals[i] AS val, gaps[i] AS gap FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM hits)),
+placed AS (
+  SELECT *, CAST(sum(gap + length(val)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM each),
+span AS (
+  SELECT rid, doc_id, owner, kind, val, stop - length(val) AS start, stop FROM placed
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(val, p, 2)) >= 12 WHEN 1 THEN length(val) >= 18
+    WHEN 3 THEN regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') ELSE true END),
+token AS (
+  SELECT *, EXISTS (SELECT 1 FROM span b WHERE b.rid = t.rid AND b.kind < 3 AND b.start <= t.start AND b.stop >= t.stop) AS inside FROM span t WHERE kind = 3),
+live AS (
+  SELECT val FROM token GROUP BY val
+  HAVING count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, coalesce(CAST(doc_id AS VARCHAR), ''))) <= 20 AND (bool_or(inside) OR (
+    length(val) >= 16 AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 4
+    AND len(list_distinct(regexp_extract_all(val, '.'))) >= 8))),
+final AS (
+  SELECT rid, kind, start, stop FROM span WHERE kind < 3
+  UNION ALL SELECT rid, kind, start, stop FROM token WHERE NOT inside AND val IN (SELECT val FROM live)),
+per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM final GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN per USING (rid)
+"""
+
+SQL: dict[str, str] = {"op3_contamination": OP3, "op5_mix": OP5, "op7_urls": OP7, "op11_merkle": OP11, "op13_secrets": OP13}
