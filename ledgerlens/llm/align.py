@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,17 @@ from tokenizers import Tokenizer
 from ledgerlens.llm.rows import others, quoted, small_batches
 from ledgerlens.session import cut_lineage
 
-BLOCK_CHARS = 1 << 22
-#: Ends of one merged piece, and texts that the first library encodes at once (its results are large).
-PIECE, TEXTS = 256, 128
+BLOCK_CHARS = 1 << 20
+#: Ends of one merged piece.
+PIECE = 256
+#: Words kept with their ids in a task and the longest one kept; words encoded in one line, and lines encoded at once.
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
+JOINED, TEXTS = 256, 64
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Links of one group that are written out one by one; larger groups are counted by distinct ids.
 GROUP_LINKS = 1 << 12
-_SHIFT = 32
+#: Bits of an id; a pair and a document's number in its block are one number of 63 bits.
+_SHIFT = 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,9 +60,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Encoded texts of one tokenizer, with the bytes of each id."""
+    """One tokenizer, with the bytes of each id."""
 
     def __init__(self, token_bytes: list[bytes]):
+        if len(token_bytes) > 1 << _SHIFT:
+            raise ValueError(f"more than {1 << _SHIFT} ids")
         self.token_bytes = token_bytes
         self.sizes = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
 
@@ -74,28 +83,111 @@ class ByteLevel(Vocabulary):
             found[i] = bytes(alphabet[c] for c in token) if set(token) <= alphabet.keys() else token.encode()
         super().__init__(found)
 
-    def encode(self, lines: list[str]) -> Iterator[list[int]]:
-        for k in range(0, len(lines), TEXTS):
-            for e in self.tokenizer.encode_batch_fast(lines[k : k + TEXTS], add_special_tokens=False):
-                yield e.ids
+    def encode(self, lines: list[str]) -> list[list[int]]:
+        """Ids of lines, each of which starts with a blank."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
 
 class Pieces(Vocabulary):
     def __init__(self, file: str):
         self.processor = sp = SentencePieceProcessor(model_file=file)
-        ids = range(sp.get_piece_size())
-        super().__init__([bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in ids])
+        found = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        if any("▁" in x.lstrip("▁") for x in found):
+            raise ValueError("a piece of the model goes on behind a blank")
+        super().__init__([bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(found)])
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, lines: list[str]) -> list[list[int]]:
+        return [self.processor.encode(line[1:]) for line in lines]  # it adds the blank
+
+
+class Words:
+    """Ids of both tokenizers; each different word with its blank is encoded once for as long as it is kept.
+
+    Lines are cut at single blanks between two characters that are not white space. There byte-level pre-tokenisation starts a
+    new piece, and no piece of the other model goes on behind a blank, so neither tokenizer joins what the cut parts.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.sides = (a, b)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.sizes = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.bad = np.empty(0, bool)
+
+    def add(self, found: list[tuple[list[str], list[np.ndarray], list[np.ndarray], np.ndarray]]) -> None:
+        """Keep (words, ids of each side on end, numbers of ids, whether the bytes differ)."""
+        words = [w for x in found for w in x[0]]
+        self.place.update(zip(words, range(len(self.bad), len(self.bad) + len(words)), strict=True))
+        for side in (0, 1):
+            self.ids[side] = np.concatenate([self.ids[side], *(x[1][side] for x in found)])
+            self.sizes[side] = np.concatenate([self.sizes[side], *(x[2][side] for x in found)])
+        self.bad = np.concatenate([self.bad, *(x[3] for x in found)])
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words, many in one line; the ids' bytes tell where a word ends."""
+        alone = [w for w in words if not w or w != w.strip()]
+        rest = [w for w in words if w and w == w.strip()]
+        groups = [rest[k : k + JOINED] for k in range(0, len(rest), JOINED)]
+        learned = []
+        for k in range(0, len(groups), TEXTS):
+            some = groups[k : k + TEXTS]
+            lines = ["".join([" " + w for w in g]) for g in some]
+            for own, line, *found in zip(some, lines, *(v.encode(lines) for v in self.sides), strict=True):
+                raw = line.encode()
+                if any(v.joined(x) != raw for v, x in zip(self.sides, found, strict=True)):
+                    alone += own
+                    continue
+                stops = np.cumsum(np.fromiter((1 + len(w.encode()) for w in own), np.int64, len(own)))
+                flat = [np.array(x, np.int64) for x in found]
+                ends = [np.searchsorted(np.cumsum(v.sizes[x]), stops) + 1 for v, x in zip(self.sides, flat, strict=True)]
+                learned.append((own, flat, [np.diff(e, prepend=0) for e in ends], np.zeros(len(own), bool)))
+        for k in range(0, len(alone), TEXTS):
+            some = alone[k : k + TEXTS]
+            lines = [" " + w for w in some]
+            found = [v.encode(lines) for v in self.sides]
+            bad = [any(v.joined(x) != line.encode() for v, x in zip(self.sides, xs, strict=True)) for line, *xs in zip(lines, *found, strict=True)]
+            sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in found]
+            learned.append((some, [np.array([i for x in side for i in x], np.int64) for side in found], sizes, np.array(bad)))
+        self.add(learned)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which texts are given back byte for byte, and the ids, on end, and numbers of ids of those, for both sides."""
+        if len(self.place) > KEPT_WORDS:
+            self.clear()
+        words: list[str] = []
+        counts = []
         for text in texts:
-            yield self.processor.encode(text)
+            own = _CUT.split(text)
+            words += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if len(miss := np.flatnonzero(at < 0).tolist()):
+            self.learn(list(dict.fromkeys(words[i] for i in miss)))
+            at[miss] = [self.place[words[i]] for i in miss]
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        good = np.bincount(text_of, weights=self.bad[at], minlength=len(texts)) == 0
+        use = good[text_of]
+        at, text_of = at[use], text_of[use]
+        out = []
+        for ids, sizes in zip(self.ids, self.sizes, strict=True):
+            own = sizes[at]
+            starts, stops = (np.cumsum(sizes) - sizes)[at], np.cumsum(own)
+            flat = ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - own), own)]
+            out.append((flat, np.bincount(text_of, weights=own, minlength=len(texts)).astype(np.int64)[good]))
+        for w in words:
+            if len(w) > KEPT_CHARS:
+                self.place.pop(w, None)  # its ids stay until all is cleared
+        return good, out
 
 
 @functools.cache
-def _vocabularies(a_file: str, b_file: str) -> tuple[ByteLevel, Pieces, list[str]]:
-    a, b = ByteLevel(a_file), Pieces(b_file)
-    wide = max(len(a.sizes), len(b.sizes))
-    return a, b, [f"{i}{mark}" for mark in ",|;" for i in range(wide)]
+def _vocabularies(a_file: str, b_file: str) -> tuple[Words, list[str]]:
+    words = Words(ByteLevel(a_file), Pieces(b_file))
+    wide = max(len(v.sizes) for v in words.sides)
+    return words, [f"{i}{mark}" for mark in ",|;" for i in range(wide)]
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -140,8 +232,8 @@ def merged_groups(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.
 
 
 def distinct_links(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, group_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, pair, times) of all links, each document's pair once; a pair is a's id << 32 | b's id."""
-    n = len(group_doc)
+    """(document, pair, times) of all links, each document's pair once; a pair is a's id << _SHIFT | b's id."""
+    n, wide = len(group_doc), 2 * _SHIFT
     size_a, size_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
     start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
     links = size_a * size_b
@@ -149,48 +241,36 @@ def distinct_links(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, gr
     counts = links[small]
     group = np.repeat(small, counts)
     k = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = ids_a[start_a[group] + k // size_b[group]]
-    second = ids_b[start_b[group] + k % size_b[group]]
-    docs, pairs, times = [group_doc[group]], [first.astype(np.int64) << _SHIFT | second], [np.ones(len(group), np.int64)]
+    own = size_b[group]
+    keys = group_doc[group] << wide | ids_a[start_a[group] + k // own] << _SHIFT | ids_b[start_b[group] + k % own]
+    keys, times = np.unique(keys, return_counts=True)
+    more, more_times = [keys], [times]
     for g in np.flatnonzero(links > GROUP_LINKS).tolist():
         own_a, times_a = np.unique(ids_a[start_a[g] : start_a[g] + size_a[g]], return_counts=True)
         own_b, times_b = np.unique(ids_b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
-        pairs.append((own_a.astype(np.int64)[:, None] << _SHIFT | own_b[None, :]).ravel())
-        times.append(np.outer(times_a, times_b).ravel())
-        docs.append(np.full(len(pairs[-1]), group_doc[g]))
-    doc, pair, time = np.concatenate(docs), np.concatenate(pairs), np.concatenate(times)
-    order = np.lexsort((pair, doc))
-    doc, pair, time = doc[order], pair[order], time[order]
-    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else np.empty(0, np.int64)
-    return doc[edge], pair[edge], np.add.reduceat(time, edge) if len(edge) else time
-
-
-def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.concatenate([np.zeros(0, np.int64), *found]), sizes
+        more.append((group_doc[g] << wide | own_a[:, None] << _SHIFT | own_b[None, :]).ravel())
+        more_times.append(np.outer(times_a, times_b).ravel())
+    if len(more) > 1:
+        keys, place = np.unique(np.concatenate(more), return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, place, np.concatenate(more_times))
+    return keys >> wide, keys & (1 << wide) - 1, times
 
 
-def align_texts(texts: list[str | None], a: ByteLevel, b: Pieces, names: list[str]) -> dict:
+def align_texts(texts: list[str | None], words: Words, names: list[str]) -> dict:
     """Counts, group texts and distinct links of the documents of one block."""
     full = [k for k, t in enumerate(texts) if t]
-    lines = [" " + texts[k] for k in full]
-    found_a, found_b, kept = [], [], []
-    for k, line, x, y in zip(full, lines, a.encode(lines), b.encode([texts[k] for k in full]), strict=True):
-        raw = line.encode()
-        if a.joined(x) == raw == b.joined(y):
-            found_a.append(np.array(x, np.int64))
-            found_b.append(np.array(y, np.int64))
-            kept.append(k)
-    ids_a, n_a = _flat(found_a)
-    ids_b, n_b = _flat(found_b)
+    good, ((ids_a, n_a), (ids_b, n_b)) = words.encode([texts[k] for k in full])
+    kept = [k for k, ok in zip(full, good.tolist(), strict=True) if ok]
+    a, b = words.sides
     group_a, group_b = merged_groups(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]))
     groups = int(group_a[-1]) + 1 if len(group_a) else 0
-    doc_of_a = np.repeat(np.arange(len(kept)), n_a)
     group_doc = np.zeros(groups, np.int64)
-    group_doc[group_a] = doc_of_a
+    group_doc[group_a] = np.repeat(np.arange(len(kept)), n_a)
     size_a, size_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     n_groups = np.bincount(group_doc, minlength=len(kept))
-    n_links = np.bincount(group_doc, weights=size_a * size_b, minlength=len(kept)).astype(np.int64) if groups else np.zeros(len(kept), np.int64)
+    n_links = np.zeros(len(kept), np.int64)
+    np.add.at(n_links, group_doc, size_a * size_b)
     doc, pair, times = distinct_links(ids_a, ids_b, group_a, group_b, group_doc)
     return {"kept": kept, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "doc": doc, "pair": pair, "times": times,
             "groups": group_texts(ids_a, ids_b, group_a, group_b, n_a + n_b, names)}
@@ -225,7 +305,7 @@ def _aligned(rows: DataFrame, a_file: str, b_file: str, block_chars: int, with_g
     width = len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, names = _vocabularies(a_file, b_file)
+        words, names = _vocabularies(a_file, b_file)
         block = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(width)
@@ -233,11 +313,11 @@ def _aligned(rows: DataFrame, a_file: str, b_file: str, block_chars: int, with_g
             at = 0
             while at < len(texts):
                 stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), block_chars, side="right")) + at)
-                yield block_rows(batch.slice(at, stop - at), a, b, names, block)
+                yield block_rows(batch.slice(at, stop - at), words, names, block)
                 block, at = block + 1, stop
 
-    def block_rows(part: pa.RecordBatch, a: ByteLevel, b: Pieces, names: list[str], block: int) -> pa.RecordBatch:
-        found = align_texts(part.column(width).to_pylist(), a, b, names)
+    def block_rows(part: pa.RecordBatch, words: Words, names: list[str], block: int) -> pa.RecordBatch:
+        found = align_texts(part.column(width).to_pylist(), words, names)
         n = part.num_rows
         pairs, local, docs = np.unique(found["pair"], return_inverse=True, return_counts=True)
         cuts = np.searchsorted(found["doc"], np.arange(len(found["kept"]) + 1)).tolist()

@@ -190,7 +190,7 @@ def test_large_groups_count_every_link(odd, monkeypatch):
     ids = rng.integers(0, 5, 60), rng.integers(0, 4, 50)
     groups = np.sort(rng.integers(0, 6, 60)), np.sort(rng.integers(0, 6, 50))
     doc, pair, times = align.distinct_links(*ids, *groups, np.array([0, 0, 1, 1, 1, 2]))
-    want = Counter((d, i << 32 | j) for g, d in enumerate([0, 0, 1, 1, 1, 2]) for i in ids[0][groups[0] == g].tolist() for j in ids[1][groups[1] == g].tolist())
+    want = Counter((d, i << 20 | j) for g, d in enumerate([0, 0, 1, 1, 1, 2]) for i in ids[0][groups[0] == g].tolist() for j in ids[1][groups[1] == g].tolist())
     assert Counter(dict(zip(zip(doc.tolist(), pair.tolist(), strict=True), times.tolist(), strict=True))) == want
 
 
