@@ -22,6 +22,7 @@ holds at least one whole document, so the longest text bounds its memory.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -70,10 +71,16 @@ def cut(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")
 
 
+def load_tokenizer(file: str) -> Tokenizer:
+    """The tokenizer without threads of its own: a task has one core, and its neighbours need the others."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(file)
+
+
 @functools.cache
 def _tokenizer(file: str) -> tuple[Tokenizer, np.ndarray]:
     """The tokenizer and the number of bytes each of its ids stands for."""
-    tokenizer = Tokenizer.from_file(file)
+    tokenizer = load_tokenizer(file)
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character for each byte
