@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
 from ledgerlens.llm.rows import others, quoted, small_batches
+from ledgerlens.llm.tokens import load_tokenizer
 from ledgerlens.session import cut_lineage
 
 BLOCK_CHARS = 1 << 20
@@ -74,7 +74,7 @@ class Vocabulary:
 
 class ByteLevel(Vocabulary):
     def __init__(self, file: str):
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer = load_tokenizer(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         alphabet = byte_alphabet()

@@ -39,7 +39,7 @@ from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import shuffles_freed
 
 END = 0
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 RULES = 2048
 LEAST = 16
 #: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
