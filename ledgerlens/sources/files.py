@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from fnmatch import translate
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ledgerlens.sources.readers import EXTENSIONS, detect_format, read_table
 
@@ -11,6 +14,14 @@ MAX_LOAD_MB = 500
 MAX_UPLOAD_MB = 50
 
 SIDECAR = "_metadata.json"
+#: Subfolder of the snapshots' manifests; its name keeps it out of every listing of data.
+MANIFESTS = "_snapshots"
+MANIFEST = (
+    "name string, version string, path string, format string, rows long, files long, size_bytes long, "
+    "schema string, saved_at timestamp"
+)
+# Files inside a folder that is itself named as a table are parts of a snapshot.
+_PART = r"/[^/]+[.](" + "|".join(EXTENSIONS) + ")/[^/]+$"
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -36,7 +47,10 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
 def list_processed(
     spark: SparkSession, folder: str, file_format: str | None = None, sort_by: str = "modified"
 ) -> DataFrame:
-    """Data files without their metadata, by name, by size or by time (largest, latest first)."""
+    """Published snapshots, each one row whatever its files, and single data files, without their metadata.
+
+    By name, by size or by time (largest, latest first). Snapshots without a manifest are not there yet.
+    """
     orders = {
         "name": [F.asc("file_name")],
         "size": [F.desc("size_bytes"), F.asc("file_name")],
@@ -44,13 +58,30 @@ def list_processed(
     }
     if sort_by not in orders:
         raise ValueError(f"sort_by {sort_by!r} is not one of {sorted(orders)}")
-    files = list_files(spark, folder).filter(~F.endswith("file_name", F.lit(SIDECAR)))
+    single = ~F.endswith("file_name", F.lit(SIDECAR)) & ~F.col("path").rlike(_PART) & ~F.contains("path", F.lit(SIDECAR + "/"))
+    columns = ["path", "file_name", "format", "size_bytes", "modified"]
+    files = list_files(spark, folder).filter(single).select(*columns, F.lit(None).cast("long").alias("rows"), F.lit(False).alias("snapshot"))
+    published = catalogue(spark, folder).select(
+        F.concat(F.lit(f"{folder}/"), "path").alias("path"), F.col("path").alias("file_name"), "format", "size_bytes",
+        F.col("saved_at").alias("modified"), "rows", F.lit(True).alias("snapshot"),
+    )
+    files = files.unionByName(published)
     if file_format:
         files = files.filter(F.col("format") == detect_format("", file_format))
     return files.orderBy(*orders[sort_by])
 
 
-def admitted(files: DataFrame, max_mb: int = MAX_LOAD_MB) -> DataFrame:
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests of the snapshots in a folder."""
+    try:
+        return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(f"{folder}/{MANIFESTS}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def admitted(files: DataFrame, max_mb: float = MAX_LOAD_MB) -> DataFrame:
     """Files with whether they may be loaded, and why not: too large or of unknown format."""
     reason = F.when(F.col("size_bytes") > max_mb * 1024 * 1024, "too large").when(
         F.col("format").isNull(), "unknown format"
@@ -64,30 +95,41 @@ def fingerprints(spark: SparkSession, folder: str, pattern: str | None = None) -
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder).select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
 
-def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
-    """Path of the most recently changed file that matches the pattern."""
-    files = list_files(spark, folder, pattern)
-    row = files.agg(F.max_by("path", F.struct("modified", "path"))).first()
-    if row[0] is None:
-        raise FileNotFoundError(f"no file in {folder} matches {pattern}")
-    return row[0]
+def latest_entry(spark: SparkSession, folder: str, pattern: str) -> Row:
+    """The row of list_processed that changed last among those whose name matches the pattern."""
+    found = list_processed(spark, folder).filter(F.col("file_name").rlike(translate(pattern)))
+    row = found.agg(F.max_by(F.struct("*"), F.struct("modified", "path"))).first()[0]
+    if row is None:
+        raise FileNotFoundError(f"no table in {folder} matches {pattern}")
+    return row
 
 
-def load_latest(spark: SparkSession, folder: str, pattern: str, **options) -> DataFrame:
-    return read_table(spark, latest_file(spark, folder, pattern), **options)
+def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
+    """Path of the most recent snapshot or single file that matches the pattern."""
+    return latest_entry(spark, folder, pattern)["path"]
 
 
-def file_metadata(df: DataFrame) -> DataFrame:
-    """Per source file of a table read from files: name, size, time, rows. One pass."""
+def file_metadata(df: DataFrame, with_hash: bool = False) -> DataFrame:
+    """Per source file of a table read from files: path, name, size, time, rows. One pass.
+
+    with_hash adds sha256, for which the files are read once more as bytes.
+    """
     by = df.groupBy(
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("size_bytes"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
-    return by.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
+    found = by.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
+    if not with_hash:
+        return found
+    spark = df.sparkSession
+    marks = spark.read.format("binaryFile").load(df.inputFiles()).select("path", F.sha2("content", 256).alias("sha256"))
+    return found.join(marks, "path")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ledgerlens.sources import records
+
 # Format by file extension.
 EXTENSIONS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "parquet": "parquet"}
 
@@ -27,11 +29,22 @@ def read_table(
     """Read files or folders. A schema saves the inference pass over text files.
 
     JSON is read as an array of records per file; pass ``multiLine=False`` for JSON Lines. CSV texts may
-    hold line breaks inside quotes; pass ``multiLine=False`` for files without, which are then split among tasks.
+    hold line breaks inside quotes. Files above a task's share are cut into blocks whose records are found by
+    ``sources/records.py``; pass ``multiLine`` to have Spark's own reader, which then splits files only without it.
     """
     first = path if isinstance(path, str) else path[0]
     kind = detect_format(first, file_format)
     reader = spark.read
+    by_block = (
+        kind != "parquet" and "multiLine" not in options and encoding.lower() in ("utf-8", "utf8")
+        and options.get("header", True) is True and records.needs_splitting(spark, path, **options)
+    )
+    if by_block and kind == "json":
+        return nan_to_null(records.read_json(spark, path, schema, **options))
+    if by_block:
+        defaults = {"sep": "\t" if kind == "tsv" else ",", "quote": '"', "escape": '"', **options}
+        header = raw_header(spark, path, defaults["sep"], **options)
+        return nan_to_null(records.read_csv(spark, path, header, schema, **defaults))
     if schema is not None:
         reader = reader.schema(schema)
     if kind in ("csv", "tsv"):
@@ -67,9 +80,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def raw_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+def raw_header(spark: SparkSession, path: str | list[str], sep: str = ",", **options) -> list[str]:
     """Names in the header line as written, repeated ones included."""
-    line = spark.read.text(path).limit(1).first()
+    kept = {k: v for k, v in options.items() if k in ("recursiveFileLookup", "pathGlobFilter")}
+    line = spark.read.options(**kept).text(path).limit(1).first()
     names = [] if line is None else next(iter(_split(line[0], sep)))
     return names
 
@@ -80,6 +94,24 @@ def _split(line: str, sep: str):
     return csv.reader([line.removeprefix("﻿")], delimiter=sep)
 
 
+# How CSV and TSV keep every text: outer blanks stay, an empty text is "" and null is \N.
+CSV_TEXT = {
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def read_back(spark: SparkSession, path: str, kind: str, schema: T.StructType | str) -> DataFrame:
+    """Read what ``sinks.save_table`` wrote."""
+    options = {"multiLine": False} if kind == "json" else {}
+    if kind in ("csv", "tsv"):
+        options |= {**CSV_TEXT, "emptyValue": "", "enforceSchema": False}
+    return read_table(spark, path, kind, schema, **options)
+
+
 def read_millis(df: DataFrame, column: str) -> DataFrame:
     """Epoch milliseconds, as JSON exports write dates, to timestamps."""
     return df.withColumn(column, F.timestamp_millis(F.col(column).cast("long")))

@@ -9,17 +9,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from ledgerlens.operators.cleaning import process_upload
 from ledgerlens.operators.quality import upload_report
-from ledgerlens.sources import files
-from ledgerlens.sources.readers import detect_format, read_table
-
-# How CSV and TSV keep every text: outer blanks stay, an empty text is "" and null is \N.
-CSV_TEXT = {
-    "quote": '"',
-    "escape": '"',
-    "nullValue": "\\N",
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
-}
+from ledgerlens.sources import files, snapshots
+from ledgerlens.sources.readers import CSV_TEXT, detect_format, raw_header, read_back, read_table  # noqa: F401
+
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
@@ -47,15 +39,16 @@ def save_table(
     metadata: dict | None = None,
     validate: bool = True,
 ) -> str:
-    """Write a snapshot folder ``name_<run>`` and its metadata beside it; return its path.
+    """Write a snapshot folder ``name_<run>``, its metadata beside it and at last its manifest; return its path.
 
-    An existing folder is an error unless ``overwrite``. CSV and JSON Lines are plain text
+    Readers that go by manifests see the snapshot only then. An existing folder is an error unless ``overwrite``. CSV and JSON Lines are plain text
     unless a compression is given, Parquet uses snappy.
     """
     kind = detect_format("", file_format)
     if validate:
         check_for_save(df)
-    stem = f"{name}_{run_stamp()}" if include_timestamp else name
+    version = run_stamp() if include_timestamp else ""
+    stem = f"{name}_{version}" if version else name
     path = f"{folder}/{stem}.{kind}"
     # Rows and values per column are counted while they are written.
     seen = Observation()
@@ -65,6 +58,8 @@ def save_table(
         *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)],
     )
     mode = "overwrite" if overwrite else "errorifexists"
+    if overwrite:
+        snapshots.withdraw(df.sparkSession, folder, stem)
     writer = counted.write.mode(mode)
     if kind == "parquet":
         writer.option("compression", compression or "snappy").parquet(path)
@@ -78,6 +73,7 @@ def save_table(
     sidecar(df, path, kind, found["rows"], empty, metadata).coalesce(1).write.mode(mode).json(
         f"{folder}/{stem}{files.SIDECAR}"
     )
+    snapshots.publish(df, folder, stem, name, version, kind, found["rows"])
     return path
 
 
@@ -99,14 +95,6 @@ def sidecar(
     )
 
 
-def read_back(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
-    """Read what ``save_table`` wrote."""
-    options = {"multiLine": False} if kind == "json" else {}
-    if kind in ("csv", "tsv"):
-        options |= {**CSV_TEXT, "emptyValue": "", "multiLine": True, "enforceSchema": False}
-    return read_table(spark, path, kind, schema, **options)
-
-
 def _marks(df: DataFrame) -> list[Column]:
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return [
@@ -194,7 +182,9 @@ def ingest_batch(
         paths = [r["path"] for r in checked.filter("admitted").select("path").collect()]
     raw = read_table(spark, paths, file_format or count["format"], schema, recursiveFileLookup=True)
     landed = land_verified(raw, f"{raw_folder}/{name}_{run_stamp()}.parquet")
-    report = upload_report(landed)
+    kind = detect_format("", file_format or count["format"])
+    header = raw_header(spark, paths, "\t" if kind == "tsv" else ",", recursiveFileLookup=True) if kind in ("csv", "tsv") else None
+    report = upload_report(landed, header)
     if not report.first()["is_valid"]:
         raise ValueError(f"{source} failed validation: {report.first()['errors']}")
     out = process_upload(landed) if process else landed

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import catalog
 from ledgerlens.session import scratch_path
-from ledgerlens.sources import files, readers, sinks
+from ledgerlens.sources import files, readers, records, sinks, snapshots
 from ledgerlens.streaming import live
 from ledgerlens.workload.catalog import AS_OF, SNAPSHOT, sources
 from ledgerlens.workload.registry import query
@@ -64,21 +64,57 @@ def cat_snapshot_saved(spark, d):
     return spark.read.parquet(path)
 
 
-@query("file_list")
+STATUS_FILES = "SELECT 'orders_' || o_orderstatus || '.parquet' AS file_name, 'parquet' AS format, COUNT(*) AS rows FROM orders GROUP BY o_orderstatus"
+
+
+@query("file_list", STATUS_FILES)
 def file_list(spark, d):
-    listed = files.list_processed(spark, d, "parquet", "size")
-    return listed.select("file_name", "format", "size_bytes")
+    """Orders saved as a snapshot for each status; every snapshot is one entry, whatever its files."""
+    folder = scratch_path(spark, "listed")
+    orders = table(spark, d, "orders")
+    for row in orders.select("o_orderstatus").distinct().collect():  # three statuses
+        own = orders.filter(F.col("o_orderstatus") == row[0]).repartition(3)
+        sinks.save_table(own, folder, f"orders_{row[0]}", include_timestamp=False)
+    return files.list_processed(spark, folder, "parquet", "size").select("file_name", "format", "rows")
+
+
+def _text_files(spark, d):
+    """Whole texts as a file for each source, a text behind the other in order of ids; the folder."""
+    folder = scratch_path(spark, "texts")
+    docs = table(spark, d, "documents").select(
+        F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    dealt = docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value")
+    dealt.write.partitionBy("source").text(folder)
+    return folder
 
 
-@query("file_admission")
+TEXT_FILES = """
+files AS (
+  SELECT coalesce(source, 'none') AS source, CAST(SUM(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes,
+         sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256
+  FROM documents GROUP BY 1)"""
+
+
+@query(
+    "file_admission",
+    "WITH" + TEXT_FILES + """
+SELECT source, size_bytes, size_bytes <= 0.1 * 1024 * 1024 AS admitted,
+       CASE WHEN size_bytes > 0.1 * 1024 * 1024 THEN 'too large' END AS reason FROM files""",
+)
 def file_admission(spark, d):
-    checked = files.admitted(files.list_files(spark, d, "*.parquet"), 1)
-    return checked.select("file_name", "size_bytes", "admitted", "reason")
+    """Which of the text files of documents may be loaded where a tenth of a megabyte is the limit."""
+    checked = files.admitted(files.list_files(spark, _text_files(spark, d)), 0.1)
+    return checked.select(_source_of("path"), "size_bytes", "admitted", "reason")
 
 
-@query("file_fingerprint")
+def _source_of(path):
+    return F.regexp_extract(path, "source=([^/]*)", 1).alias("source")
+
+
+@query("file_fingerprint", "WITH" + TEXT_FILES + " SELECT source, size_bytes, sha256 FROM files")
 def file_fingerprint(spark, d):
-    return files.fingerprints(spark, d, "*.parquet")
+    """SHA-256 of the text files of documents."""
+    return files.fingerprints(spark, _text_files(spark, d)).select(_source_of("path"), "size_bytes", "sha256")
 
 
 @query("file_metadata", "SELECT 'lineitem.parquet' AS file_name, COUNT(*) AS row_count, 11 AS column_count FROM lineitem")
@@ -86,15 +122,47 @@ def file_metadata(spark, d):
     return files.file_metadata(table(spark, d, "lineitem")).select("file_name", "row_count", "column_count")
 
 
-@query("latest_snapshot", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1")
-def latest_snapshot(spark, d):
-    """Two snapshots of a roll-up are saved; the later one is loaded."""
+ODD_TEXT = """
+  CASE doc_id % 6 WHEN 0 THEN '  ' || text WHEN 1 THEN text || '  ' WHEN 2 THEN '' WHEN 3 THEN NULL
+    WHEN 4 THEN '"' || text || '", and so on' ELSE text || chr(10) || chr(9) || source END"""
+
+
+def _saved_twice(spark, d):
+    """Open orders and then all orders, saved as two versions of one table in four parts each; the folder."""
     folder = scratch_path(spark, "snapshots")
-    orders = table(spark, d, "orders")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").repartition(4)
     for rows in (orders.filter(F.col("o_orderstatus") == "O"), orders):
-        by = rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-        sinks.save_table(by.coalesce(1), folder, "priority", overwrite=True)
-    return files.load_latest(spark, folder, "*.parquet", file_format="parquet")
+        sinks.save_table(rows, folder, "orders")
+    return folder
+
+
+@query("latest_snapshot", "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders")
+def latest_snapshot(spark, d):
+    """The later of two versions, whole."""
+    return snapshots.load_latest(spark, _saved_twice(spark, d), "orders_*.parquet")
+
+
+@query("snapshot_versions", "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def snapshot_versions(spark, d):
+    """The earlier of two versions, whole."""
+    folder = _saved_twice(spark, d)
+    first = snapshots.versions(spark, folder, "orders").agg(F.min("version")).first()[0]
+    return snapshots.load(spark, folder, "orders", first)
+
+
+@query("csv_by_block", f"SELECT doc_id, {ODD_TEXT} AS text FROM documents")
+def csv_by_block(spark, d):
+    """Texts with quotes and line breaks in CSV files, read by many tasks wherever the files are cut."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(ODD_TEXT).alias("text"))
+    path = sinks.save_table(docs, scratch_path(spark, "blocks"), "documents", "csv")
+    return records.read_csv(spark, path, docs.columns, docs.schema, **readers.CSV_TEXT, emptyValue="")
+
+
+@query("json_array_by_block", "SELECT * FROM documents")
+def json_array_by_block(spark, d):
+    """Documents written as JSON arrays, read by many tasks wherever the files are cut."""
+    docs = table(spark, d, "documents")
+    return records.read_json(spark, records.write_json_array(docs, scratch_path(spark, "arrays")), docs.schema)
 
 
 @query(
@@ -147,11 +215,6 @@ def stream_period_revenue(spark, d):
     )
 
 
-ODD_TEXT = """
-  CASE doc_id % 6 WHEN 0 THEN '  ' || text WHEN 1 THEN text || '  ' WHEN 2 THEN '' WHEN 3 THEN NULL
-    WHEN 4 THEN '"' || text || '", and so on' ELSE text || chr(10) || chr(9) || source END"""
-
-
 def _text_round_trip(spark, d, kind):
     docs = table(spark, d, "documents").select("doc_id", F.expr(ODD_TEXT).alias("text"))
     path = sinks.save_table(docs, scratch_path(spark, f"texts-{kind}"), "documents", kind)
