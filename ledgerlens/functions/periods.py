@@ -24,7 +24,10 @@ def check_period(period: str | None, default: str = "M") -> str:
 
 
 def period_start(ts: Column, period: str) -> Column:
-    """First day of the period as DATE; weeks start on Monday. A text that is no date gives null."""
+    """First day of the period as DATE; weeks start on Monday. A text that is no ISO date gives null.
+
+    Texts in other layouts go through ``operators.filters.date_of`` first.
+    """
     if period == "D":
         return ts.try_cast("date")
     return F.trunc(ts.try_cast("date"), _TRUNC[period])

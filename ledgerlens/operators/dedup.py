@@ -8,7 +8,8 @@ copies are told apart by all columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -22,6 +23,28 @@ FLAG = "__duplicate"
 COPIES = 1_000_000
 
 
+def any_names(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator take columns whose names hold dots or backticks: they have other names while it works."""
+
+    @wraps(fn)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = {c: f"__odd{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+        if not odd:
+            return fn(df, *args, **kwargs)
+
+        def named(x):
+            if isinstance(x, str):
+                return odd.get(x, x)
+            return [named(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+        out = fn(df.toDF(*[odd.get(c, c) for c in df.columns]), *map(named, args), **{k: named(v) for k, v in kwargs.items()})
+        back = {v: k for k, v in odd.items()}
+        ends = {f"{e}_{v}": f"{e}_{k}" for e in ("first", "last") for v, k in back.items()}
+        return out.toDF(*[(back | ends).get(c, c) for c in out.columns])
+
+    return run
+
+
 def key_columns(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     """The columns of the subset the table has, or all columns when none is left."""
     known = [c for c in subset or [] if c in df.columns]
@@ -39,6 +62,7 @@ def _check_keep(keep) -> None:
         raise ValueError(f"keep {keep!r} is not one of {KEEP}")
 
 
+@any_names
 def drop_duplicates(
     df: DataFrame,
     subset: Sequence[str] | None = None,
@@ -97,6 +121,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return spread.withColumn("__number", F.explode(F.sequence(first, F.least(n, first + COPIES - 1))))
 
 
+@any_names
 def mark_duplicates(
     df: DataFrame,
     subset: Sequence[str] | None = None,
@@ -110,6 +135,7 @@ def mark_duplicates(
     return rows.select(*df.columns, F.col(FLAG).alias("_is_duplicate"))
 
 
+@any_names
 def find_duplicates(
     df: DataFrame,
     subset: Sequence[str] | None = None,
@@ -125,6 +151,7 @@ def find_duplicates(
     return rows.select(*df.columns, *extra)
 
 
+@any_names
 def duplicate_groups(
     df: DataFrame, subset: Sequence[str] | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -141,6 +168,7 @@ def duplicate_groups(
     return by.filter(F.col("group_rows") > 1)
 
 
+@any_names
 def duplicate_report(df: DataFrame, subset: Sequence[str] | None = None, keep: str | bool = "first") -> DataFrame:
     """Rows in duplicate groups, number of groups, rows removed and share of rows retained."""
     _check_keep(keep)
@@ -159,6 +187,7 @@ def duplicate_report(df: DataFrame, subset: Sequence[str] | None = None, keep: s
     )
 
 
+@any_names
 def drop_by_priority(
     df: DataFrame,
     subset: Sequence[str],

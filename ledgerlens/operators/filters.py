@@ -69,8 +69,8 @@ def sorted_top(
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """First rows by a column; an unknown column falls back to total_revenue, then the first."""
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     if sort_by not in df.columns:
         sort_by = "total_revenue" if "total_revenue" in df.columns else df.columns[0]
     key = F.desc_nulls_last(sort_by) if sort_order == "desc" else F.asc_nulls_last(sort_by)

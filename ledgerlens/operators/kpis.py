@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numeric import percent, ratio, require_columns
 from ledgerlens.functions.periods import check_period, period_start
+from ledgerlens.operators.filters import date_of
 from ledgerlens.plans.calendar import dense
 
 CATEGORIES = ("financial", "operational", "customer", "product", "sales")
@@ -293,10 +294,11 @@ def daily_profit(
 ) -> DataFrame:
     """Revenue, cost and profit per day of the last ``days`` days, days without sales as zero."""
     p = check_period(period, "D")
-    day = F.col(date_column).cast("date")
+    when = date_of(df, date_column)
+    day = when.cast("date")
     if days is not None:
         last = F.lit(df.agg(F.max(day)).first()[0]).cast("date")
-        df = df.filter(F.col(date_column) >= F.date_sub(last, days - 1))
+        df = df.filter(when >= F.date_sub(last, days - 1))
     by = df.filter(day.isNotNull()).groupBy(period_start(day, p).alias("date")).agg(
         F.sum(revenue).alias("revenue"), F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("transactions")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.numeric import as_number, percent, ratio, require_columns, rounded
 from ledgerlens.functions.periods import check_period, period_name, period_start
+from ledgerlens.operators.filters import date_of
 from ledgerlens.plans.groups import TASK_ROWS, few_groups
 from ledgerlens.plans.ranks import dense_ranks
 
@@ -187,9 +188,10 @@ def product_trends(
     p = check_period(period)
     measures = {"revenue": revenue_column, "quantity": quantity_column}
     measures = {k: c for k, c in measures.items() if c}
-    facts = df.filter(F.col(product_column).isNotNull() & F.col(date_column).isNotNull())
+    start = period_start(date_of(df, date_column), p)
+    facts = df.filter(F.col(product_column).isNotNull() & start.isNotNull())
     by = facts.groupBy(
-        F.col(product_column).alias("product"), period_start(F.col(date_column), p).alias("__start")
+        F.col(product_column).alias("product"), start.alias("__start")
     ).agg(*[F.sum(as_number(df, c)).alias(k) for k, c in measures.items()])
     order = W.partitionBy("product").orderBy("__start")
     growth = []

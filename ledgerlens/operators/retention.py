@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.numeric import percent, require_columns, rounded
 from ledgerlens.functions.periods import check_period, period_name, period_ordinal, period_start
+from ledgerlens.operators.filters import date_of
 from ledgerlens.plans.quantiles import quantiles
 
 METHODS = ("cohort", "simple", "rolling", "n_day")
@@ -30,9 +31,7 @@ def activity(
     require_columns(df, user_column, date_column, event_column)
     if event_column is not None and events is not None:
         df = df.filter(F.col(event_column).isin(*events))
-    ts = F.col(date_column)
-    if dict(df.dtypes)[date_column] == "string":
-        ts = F.try_to_timestamp(ts)
+    ts = date_of(df, date_column)
     return df.select(F.col(user_column).alias("user"), ts.alias("ts")).filter(
         F.col("user").isNotNull() & F.col("ts").isNotNull()
     )

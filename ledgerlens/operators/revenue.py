@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlens.functions.numeric import as_number, exact_avg, percent, ratio, require_columns, rounded
 from ledgerlens.functions.periods import check_period, period_end, period_start
+from ledgerlens.operators.filters import date_of
 from ledgerlens.plans.calendar import MAX_PERIODS, dense
 from ledgerlens.plans.ordered import moving, running_sum
 from ledgerlens.plans.quantiles import quantiles
@@ -163,9 +164,9 @@ def revenue_by_period(
 ) -> DataFrame:
     """Summary per calendar period, gaps filled with zero sums; labelled with the last day."""
     p = check_period(period)
-    start = period_start(F.col(date_column), p)
+    start = period_start(date_of(df, date_column), p)
     by = (
-        df.filter(F.col(date_column).isNotNull())
+        df.filter(start.isNotNull())
         .groupBy(start.alias("__start"))
         .agg(*_summary(revenue_column))
     )
@@ -175,9 +176,10 @@ def revenue_by_period(
 
 
 def _period_sums(df: DataFrame, revenue_column: str, date_column: str, p: str) -> DataFrame:
+    start = period_start(date_of(df, date_column), p)
     by = (
-        df.filter(F.col(date_column).isNotNull())
-        .groupBy(period_start(F.col(date_column), p).alias("__start"))
+        df.filter(start.isNotNull())
+        .groupBy(start.alias("__start"))
         .agg(F.sum(revenue_column).alias("__sum"))
     )
     return by

@@ -127,10 +127,13 @@ def kpi_sales(spark, d):
 @query(
     "kpi_sales_no_data",
     "SELECT 'sales' AS category, 'no_data' AS kpi, CAST(NULL AS DOUBLE) AS value, 'count' AS unit,"
-    " CAST(NULL AS DOUBLE) AS change, CAST(NULL AS VARCHAR) AS trend, 'no_data' AS status",
+    " CAST(NULL AS DOUBLE) AS change, CAST(NULL AS VARCHAR) AS trend, 'no_data' AS status"
+    " WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))",
 )
 def kpi_sales_no_data(spark, d):
-    return K.sales_kpis(order_sales(spark, d).filter(F.col("total_amount") < 0), "total_amount")
+    """Sales to customers that the customer table does not know: there are none, and the block says so."""
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return K.sales_kpis(order_sales(spark, d).join(known, "user_id", "left_anti"), "total_amount")
 
 
 DAYS = 180

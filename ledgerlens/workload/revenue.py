@@ -107,17 +107,42 @@ for _u in PERIODS:
 
 @query(
     "revenue_by_period_sparse",
-    "WITH rare AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(14,2)) AS v FROM orders"
-    " WHERE o_totalprice > 495000)," + spine_sql("rare", "day", "D") + """
+    "WITH weekly AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS day, CAST(o_totalprice AS DECIMAL(14,2)) AS v FROM orders),"
+    + spine_sql("weekly", "day", "D") + """
 SELECT CAST(p AS DATE) AS period, COALESCE(CAST(SUM(v) AS DOUBLE), 0) AS total_revenue,
        CAST(SUM(v) AS DOUBLE) / COUNT(v) AS avg_revenue, COUNT(v) AS count,
        CAST(MIN(v) AS DOUBLE) AS min_revenue, CAST(MAX(v) AS DOUBLE) AS max_revenue
-FROM spine LEFT JOIN rare ON day = CAST(p AS DATE) GROUP BY p""",
+FROM spine LEFT JOIN weekly ON day = CAST(p AS DATE) GROUP BY p""",
 )
 def revenue_by_period_sparse(spark, d):
-    """Days on which a very large order came in; most days of the grid are empty."""
-    rare = order_sales(spark, d).filter(F.col("total_amount") > 495000)
-    return R.revenue_by_period(rare, "total_amount", "order_date", "D")
+    """All orders booked on the Mondays of their weeks; six of seven days of the grid are empty."""
+    weekly = order_sales(spark, d).withColumn("order_date", F.date_trunc("week", "order_date").cast("date"))
+    return R.revenue_by_period(weekly, "total_amount", "order_date", "D")
+
+
+# How people write the dates of orders, by the last digit of the key; the last layout is no date.
+LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
+
+
+def _typed_dates(spark, d):
+    text = F.lit("oops")
+    for i, layout in enumerate(LAYOUTS):
+        text = F.when(F.col("order_id") % 7 == i, F.date_format("order_date", layout)).otherwise(text)
+    return order_sales(spark, d).withColumn("order_date", text)
+
+
+@query(
+    "revenue_by_period_texts",
+    "WITH typed AS (SELECT CASE WHEN o_orderkey % 7 < 6 THEN CAST(o_orderdate AS DATE) END AS day, CAST(o_totalprice AS DECIMAL(14,2)) AS v FROM orders),"
+    + spine_sql("typed", "day", "M") + """
+SELECT CAST(p + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS period, COALESCE(CAST(SUM(v) AS DOUBLE), 0) AS total_revenue,
+       CAST(SUM(v) AS DOUBLE) / COUNT(v) AS avg_revenue, COUNT(v) AS count,
+       CAST(MIN(v) AS DOUBLE) AS min_revenue, CAST(MAX(v) AS DOUBLE) AS max_revenue
+FROM spine LEFT JOIN typed ON date_trunc('month', day) = p GROUP BY p""",
+)
+def revenue_by_period_texts(spark, d):
+    """Orders whose dates are texts in six layouts, a seventh of them no dates."""
+    return R.revenue_by_period(_typed_dates(spark, d), "total_amount", "order_date", "M")
 
 
 @query(
