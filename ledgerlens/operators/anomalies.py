@@ -240,12 +240,14 @@ def detect_anomalies(
     order_by: Sequence[str] = (),
     max_group_rows: int | None = None,
     service: bool = False,
+    trees: int = 100,
+    sample_size: int = 256,
 ) -> DataFrame:
     """Add is_anomaly, anomaly_score, upper_bound and lower_bound to the rows.
 
     ``order_by`` completes the date to a unique order. ``service`` selects the conventions of
     the report endpoint: sample deviation, distance from the median for iqr, a moving window of
-    at most a third of the rows, scores decide.
+    at most a third of the rows, scores decide. ``trees`` and ``sample_size`` are those of the isolation forest.
     """
     if method not in METHODS:
         raise ValueError(f"method {method!r} is not one of {METHODS}")
@@ -265,7 +267,7 @@ def detect_anomalies(
     if method == "isolation":
         from ledgerlens.operators.isolation import isolation_scores
 
-        rows, flag, score = isolation_scores(rows, value_column, threshold, scope)
+        rows, flag, score = isolation_scores(rows, value_column, threshold, scope, trees, sample_size)
         high = low = F.lit(None).cast("double")
     else:
         if service and method == "moving_avg" and not groupby_column:

@@ -2,7 +2,8 @@
 
 On a single measure a random tree is a set of intervals with a path length each, and a forest
 is the mean of such step functions. Each tree is grown on its own small sub-sample, as the
-method asks; every row of the table is then scored against the merged steps.
+method asks; every row of the table is then scored against the merged steps. The draw follows
+one rule at every size, for a whole table as for a group, and sends no row twice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.plans.groups import largest_group
 from ledgerlens.plans.ordered import running_sum
@@ -37,11 +38,9 @@ def _mean_depth(n: int) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Steps (lower edge, path length) of one tree grown on its sub-sample."""
-    tree = int(pdf["tree"].iloc[0])
-    rng = np.random.default_rng(SEED + tree)
-    values = np.sort(pdf["value"].to_numpy(dtype=float))
+def grow_tree(values: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Lower edges and path lengths of the steps of one tree grown on its sub-sample."""
+    values = np.sort(values)
     limit = int(np.ceil(np.log2(max(len(values), 2))))
     steps = []
     todo = [(values, -np.inf, 0)]
@@ -54,81 +53,87 @@ def grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(np.searchsorted(part, cut, side="left"))
         todo.append((part[at:], cut, depth + 1))
         todo.append((part[:at], edge, depth + 1))
-    out = pd.DataFrame(sorted(steps), columns=["edge", "depth"])
-    out.insert(0, "tree", tree)
-    return out
+    edges, depths = zip(*sorted(steps), strict=True)
+    return np.array(edges), np.array(depths)
 
 
-def sub_samples(df: DataFrame, value: str, key: Sequence[str] = ()) -> DataFrame:
-    """Up to SAMPLE rows for each tree, drawn by hash from a bounded random pool.
+def grow_forest(values: np.ndarray, marks: np.ndarray, trees: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and summed path lengths of all trees.
 
-    The hash is of the rows' unique key. Without one it is random, so that many copies of
-    one row cannot fill the pool.
+    Rows lie on a circle by their marks in [0, 1). A tree takes the `sample` rows that follow its own point
+    on the circle, all rows where there are no more.
     """
-    draw = F.xxhash64(*key) if key else F.xxhash64(F.rand(SEED))
-    pool = (
-        df.select(F.col(value).cast("double").alias("value"), draw.alias("h"))
-        .orderBy("h", "value")
-        .limit(TREES * SAMPLE)
-    )
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    drawn = pool.withColumn("tree", trees).withColumn("key", F.xxhash64("h", "tree"))
-    rank = F.row_number().over(W.partitionBy("tree").orderBy("key", "value"))
-    return drawn.withColumn("r", rank).filter(F.col("r") <= SAMPLE).select("tree", "value")
-
-
-def forest_steps(df: DataFrame, value: str, key: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and mean path lengths of the whole forest: at most TREES * SAMPLE steps."""
-    steps = (
-        sub_samples(df, value, key)
-        .groupBy("tree")
-        .applyInPandas(grow_tree, "tree int, edge double, depth double")
-        .toPandas()
-    )
-    edges = np.unique(steps["edge"].to_numpy())
+    order = np.lexsort((values, marks))
+    values, marks = values[order], marks[order]
+    taken = min(sample, len(values))
+    grown = []
+    for tree in range(trees):
+        first = int(np.searchsorted(marks, tree / trees))
+        own = values[(first + np.arange(taken)) % len(values)]
+        grown.append(grow_tree(own, np.random.default_rng(SEED + tree)))
+    edges = np.unique(np.concatenate([e for e, _ in grown]))
     total = np.zeros(len(edges))
-    for _, tree in steps.groupby("tree"):
-        tree = tree.sort_values("edge")
-        at = np.searchsorted(tree["edge"].to_numpy(), edges, side="right") - 1
-        total += tree["depth"].to_numpy()[at]
-    return edges, total / max(steps["tree"].nunique(), 1)
+    for own, depths in grown:
+        total += depths[np.searchsorted(own, edges, side="right") - 1]
+    return edges, total
+
+
+def candidates(df: DataFrame, value: str, size: Column, keep: Sequence[str], key: Sequence[str], trees: int, sample: int) -> DataFrame:
+    """keep, value and mark of the rows that some tree may take: those near behind a tree's point on the circle.
+
+    Behind each point an arc is kept that holds four times the sample on average, the whole circle for few rows. So a group
+    sends at most some 4 * trees * sample rows, each once, and the trees of a group take the same rows as from all of it.
+    The mark is a hash of the rows' unique key; without one it is random, so that copies of one row do not lie together.
+    """
+    draw = F.xxhash64(*[F.col(c) for c in key]) if key else F.xxhash64(F.rand(SEED))
+    mark = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
+    rows = df.select(*keep, F.col(value).cast("double").alias("value"), mark.alias("mark"), size.cast("long").alias("size"))
+    arc = (F.col("mark") * trees - F.floor(F.col("mark") * trees)) / trees
+    return rows.filter(F.col("value").isNotNull() & (arc * F.col("size") < float(4 * sample)))
+
+
+def forest_steps(df: DataFrame, value: str, key: Sequence[str], size: int, trees: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and mean path lengths of the whole forest: at most trees * sample steps."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges, total = grow_forest(pdf["value"].to_numpy(float), pdf["mark"].to_numpy(float), trees, sample)
+        return pd.DataFrame({"edge": edges, "depth": total / trees})
+
+    rows = candidates(df, value, F.lit(size), [], key, trees, sample).withColumn("g", F.lit(0))
+    steps = rows.groupBy("g").applyInPandas(grow, "edge double, depth double").toPandas().sort_values("edge")
+    if steps.empty:  # no value at all
+        return np.array([-np.inf]), np.array([np.nan])
+    return steps["edge"].to_numpy(), steps["depth"].to_numpy()
 
 
-def group_steps(df: DataFrame, value: str, groups: Sequence[str], key: Sequence[str]) -> DataFrame:
+def group_steps(df: DataFrame, value: str, groups: Sequence[str], key: Sequence[str], trees: int, sample: int) -> DataFrame:
     """Changes of the summed path length (group, edge, change) of one forest per group.
 
-    A large group sends each row to one tree with a probability that leaves about twice the
-    rows a tree takes; a small one offers all rows to all trees.
+    A group whose rows are all here needs them at its own values only, no more rows than it has; a larger one at the cuts.
     """
-    draw = F.xxhash64(*key) if key else F.xxhash64(F.rand(SEED))
-    rows = df.select(*groups, F.col(value).cast("double").alias("value"), F.col("__size"), draw.alias("h"))
-    enough = TREES * SAMPLE * 2
-    share = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    rows = rows.filter(share < F.lit(float(enough)) / F.col("__size"))
-    tree = F.when(
-        F.col("__size") >= enough, F.array(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(TREES)).cast("int"))
-    ).otherwise(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    drawn = rows.withColumn("tree", F.explode(tree)).withColumn("key", F.xxhash64("h", "tree"))
-    rank = F.row_number().over(W.partitionBy(*groups, "tree").orderBy("key", "value"))
-    taken = drawn.withColumn("r", rank).filter(F.col("r") <= SAMPLE).select(*groups, "tree", "value")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = grow_tree(pdf)
-        out = pd.DataFrame({"edge": steps["edge"], "change": np.diff(steps["depth"], prepend=0.0)})
+        values = pdf["value"].to_numpy(float)
+        edges, total = grow_forest(values, pdf["mark"].to_numpy(float), trees, sample)
+        if len(pdf) == pdf["size"].iloc[0]:
+            own = np.unique(values)
+            edges, total = own, total[np.searchsorted(edges, own, side="right") - 1]
+        out = pd.DataFrame({"edge": edges, "change": np.diff(total, prepend=0.0)})
         for g in groups:
             out[g] = pdf[g].iloc[0]
         return out
 
+    rows = candidates(df, value, F.col("__size"), groups, key, trees, sample)
     fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
-    return taken.groupBy(*groups, "tree").applyInPandas(grow, f"edge double, change double, {fields}")
+    return rows.groupBy(*groups).applyInPandas(grow, f"edge double, change double, {fields}")
 
 
-def grouped_scores(df: DataFrame, value: str, scope) -> DataFrame:
+def grouped_scores(df: DataFrame, value: str, scope, trees: int, sample: int) -> DataFrame:
     """Score each row against its group's forest: the summed path length at a value is the
     running sum of the changes at the edges up to it."""
     groups, key = scope.group_by, scope.order_by
     sized = scope.add(df, __size=F.count(F.lit(1)))
-    steps = cut_lineage(group_steps(sized, value, groups, key), "steps")
+    steps = cut_lineage(group_steps(sized, value, groups, key, trees, sample), "steps")
     largest = scope.max_group_rows or largest_group(df, groups)
     line = F.struct(*[F.col(c) for c in df.columns])
     rows = sized.select(
@@ -147,38 +152,39 @@ def grouped_scores(df: DataFrame, value: str, scope) -> DataFrame:
         "__depth",
         order_by=["__x", "__kind", "__tie"],
         partition_by=groups,
-        max_group_rows=largest + TREES * (2 * SAMPLE),
+        max_group_rows=largest + trees * sample,
     ).filter(F.col("__kind") == 1)
-    n = F.least(F.col("__size"), F.lit(SAMPLE)).cast("double")
+    n = F.least(F.col("__size"), F.lit(sample)).cast("double")
     norm = (
         F.when(n <= 1, F.lit(None))
         .when(n == 2, F.lit(1.0))
         .otherwise(2 * (F.ln(n - 1) + F.lit(float(np.euler_gamma))) - 2 * (n - 1) / n)
     )
-    score = F.pow(F.lit(2.0), -(F.col("__depth") / TREES) / norm)
+    score = F.pow(F.lit(2.0), -(F.col("__depth") / trees) / norm)
     scored = summed.select(*[F.col("__line")[c].alias(c) for c in df.columns], score.alias("__score"))
     return cut_lineage(scored, "scores")
 
 
-def isolation_scores(df: DataFrame, value: str, threshold: float, scope):
-    """Rows with their score, and the flag and score columns.
+def isolation_scores(df: DataFrame, value: str, threshold: float, scope, trees: int = TREES, sample: int = SAMPLE):
+    """Rows with their score, and the flag and score columns. trees and sample: how many trees, of how many rows.
 
     The share of anomalies asked for is threshold / 10, between 1 % and 50 %.
     """
     contamination = min(max(threshold / 10, 0.01), 0.5)
     if scope.group_by:
-        rows = grouped_scores(df, value, scope)
+        rows = grouped_scores(df, value, scope, trees, sample)
         rows = scope.add_quantiles(rows, {"__cut": ("__score", 1.0 - contamination)})
         return rows, F.col("__score") > F.col("__cut"), F.col("__score")
-    edges, depths = forest_steps(df, value, scope.order_by)
-    norm = _mean_depth(min(SAMPLE, max(df.count(), 2)))
+    size = df.count()
+    edges, depths = forest_steps(df, value, scope.order_by, size, trees, sample)
+    norm = _mean_depth(min(sample, max(size, 2)))
 
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
         at = np.searchsorted(edges, values.to_numpy(dtype=float), side="right") - 1
         return pd.Series(np.exp2(-depths[at] / norm))
 
-    rows = df.withColumn("__score", score(F.col(value)))
+    rows = cut_lineage(df.withColumn("__score", score(F.col(value))), "scores")  # the cut and the result read it again
     cut = quantiles(rows, {"cut": ("__score", 1.0 - contamination)}).scalar()
     rows = rows.withColumn("__cut", cut)
     return rows, F.col("__score") > F.col("__cut"), F.col("__score")

@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import anomalies as A
-from ledgerlens.operators.isolation import grow_tree
+from ledgerlens.operators import anomalies as A, isolation
 
 EIGHT = (10, 12, 11, 13, 12, 11, 10, 100)
 
@@ -140,11 +139,27 @@ def test_isolation_by_group(spark):
 
 
 def test_tree_steps_cover_the_line():
-    import pandas as pd
-
-    steps = grow_tree(pd.DataFrame({"tree": 3, "value": np.arange(256.0)}))
-    assert steps["edge"].iloc[0] == -np.inf and steps["edge"].is_monotonic_increasing
-    assert (steps["depth"] > 0).all()
+    edges, depths = isolation.grow_tree(np.arange(256.0), np.random.default_rng(3))
+    assert edges[0] == -np.inf and (np.diff(edges) > 0).all() and (depths > 0).all()
+
+
+def test_forest_takes_the_same_rows_from_candidates_as_from_all(spark):
+    df = spark.range(20_000).withColumn("v", F.sin("id")).repartition(4)
+    kept = isolation.candidates(df, "v", F.lit(20_000), ["id"], ["id"], 10, 16)
+    every = isolation.candidates(df, "v", F.lit(1), ["id"], ["id"], 10, 16)
+    few, rows = kept.toPandas(), every.toPandas()
+    assert len(rows) == 20_000 and 10 * 16 <= len(few) <= 8 * 10 * 16
+    a = isolation.grow_forest(few["value"].to_numpy(), few["mark"].to_numpy(), 10, 16)
+    b = isolation.grow_forest(rows["value"].to_numpy(), rows["mark"].to_numpy(), 10, 16)
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_forest_copies_no_row(spark):
+    df = series(spark, list(range(50)), "a")
+    steps = isolation.group_steps(df.withColumn("__size", F.lit(50)), "value", ["grp"], ["date"], 100, 256)
+    assert steps.count() <= 50 and "Generate" not in steps._jdf.queryExecution().executedPlan().toString()
+    few = A.detect_anomalies(df, "value", "date", "isolation", 0.1, trees=5, sample_size=8)
+    assert few.count() == 50 and few.filter("anomaly_score IS NULL").count() == 0
 
 
 def test_service_window_is_a_third_of_the_rows(spark):

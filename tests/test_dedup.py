@@ -80,3 +80,15 @@ def test_priority(rows):
     assert least[2] == 90 and least[4] is None
     tied = rows.withColumn("score", F.when(F.col("user_id") == 2, 1).otherwise(F.col("score")))
     assert 2 in numbers(D.drop_by_priority(tied, ["user_id"], "score", "max", ["n"]))
+
+
+def test_names_with_dots_and_backticks(spark):
+    df = spark.createDataFrame([(1, "x", 1.0), (1, "x", 2.0), (2, "y", 3.0)], "`a.b` int, `c``d` string, `v.w` double")
+    assert D.drop_duplicates(df, ["a.b"], "first", ["v.w"]).columns == df.columns
+    assert sorted(tuple(r) for r in D.drop_duplicates(df, ["a.b"], "last", ["v.w"]).collect()) == [(1, "x", 2.0), (2, "y", 3.0)]
+    assert [r["_is_duplicate"] for r in D.mark_duplicates(df, ["a.b"], "first", ["v.w"]).orderBy("`v.w`").collect()] == [False, True, False]
+    assert D.find_duplicates(df, ["a.b", "c`d"]).count() == 2
+    assert D.duplicate_groups(df, ["a.b"], ["v.w"]).columns == ["a.b", "group_rows", "first_v.w", "last_v.w"]
+    assert D.duplicate_report(df, ["a.b"]).first()["duplicates_found"] == 2
+    best = D.drop_by_priority(df, ["a.b"], "v.w").orderBy("`a.b`").collect()
+    assert [tuple(r) for r in best] == [(1, "x", 2.0), (2, "y", 3.0)]

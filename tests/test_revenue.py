@@ -133,3 +133,14 @@ def test_date_filters(days):
     assert filters.as_records(days.select(F.lit(1).alias("a")).limit(1)).first()[0] == '{"a":1}'
     with pytest.raises(ValueError):
         filters.sorted_top(days, limit=500)
+
+
+def test_text_dates_of_all_layouts_count(spark):
+    texts = ["2026-01-05", "01/07/2026", "2026/01/09", "11-01-2026", "13.01.2026", "2026-01-15 10:00:00", "1/7/2026", "oops", None]
+    df = spark.createDataFrame([(t, 5.0) for t in texts], "d string, v double")
+    [month] = R.revenue_by_period(df, "v", "d", "M").collect()
+    assert (month["count"], month["total_revenue"]) == (7, 35.0)
+    weeks = R.revenue_by_period(df, "v", "d", "W").collect()
+    assert sum(r["total_revenue"] for r in weeks) == 35.0
+    running = R.cumulative_revenue(df, "v", "d", "D").collect()
+    assert max(r["cumulative_revenue"] or 0 for r in running) == 35.0
