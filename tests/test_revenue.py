@@ -132,7 +132,7 @@ def test_date_filters(days):
     assert filters.sorted_top(days, "value", limit=2).select("value").collect()[0][0] == 3100
     assert filters.as_records(days.select(F.lit(1).alias("a")).limit(1)).first()[0] == '{"a":1}'
     with pytest.raises(ValueError):
-        filters.sorted_top(days, limit=500)
+        filters.sorted_top(days, limit=0)
 
 
 def test_text_dates_of_all_layouts_count(spark):
