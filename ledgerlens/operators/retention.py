@@ -172,30 +172,19 @@ def reported_days(max_days: int) -> list[int]:
 
 
 def nday_retention(
-    log: DataFrame, max_days: int = 12, exact: bool = False, round_decimals: int | None = None
+    log: DataFrame, max_days: int = 12, exact: bool = False, round_decimals: int | None = None, min_activity: int = 1
 ) -> DataFrame:
     """Percent of each first-day cohort active in the k-th 24 hours after first activity.
 
+    A user counts there with at least ``min_activity`` rows.
+
     One row per user and calendar day with its earliest and latest time is enough: a day
     touches at most two of the 24-hour blocks that begin at the user's first time of day.
-    ``exact`` makes a cohort of every first timestamp instead of every first day.
+    With more rows asked for, rows are counted by user and block of hours, map-side first, so a user with very many
+    rows is no task of its own. ``exact`` makes a cohort of every first timestamp instead of every first day.
     """
     days = reported_days(max_days)
-    per_day = log.groupBy("user", F.col("ts").cast("date").alias("day")).agg(
-        F.min("ts").alias("lo"), F.max("ts").alias("hi")
-    )
-    first = F.min("lo").over(W.partitionBy("user"))
-
-    def clock(ts: Column) -> Column:
-        return F.unix_micros(ts.cast("timestamp")) - F.unix_micros(ts.cast("date").cast("timestamp"))
-
-    gap = F.datediff(F.col("day"), F.col("first").cast("date"))
-    late = F.when(clock(F.col("hi")) >= clock(F.col("first")), gap)
-    early = F.when(clock(F.col("lo")) < clock(F.col("first")), gap - 1)
-    flags = [
-        F.max(F.when((late == k) | (early == k), 1).otherwise(0)).alias(f"__{k}") for k in days
-    ]
-    per_user = per_day.withColumn("first", first).groupBy("user").agg(F.min("first").alias("first"), *flags)
+    per_user = _active_days(log, days) if min_activity <= 1 else _busy_days(log, days, min_activity)
     cohort = F.col("first") if exact else F.col("first").cast("date")
     by = per_user.groupBy(cohort.alias("cohort_date")).agg(
         F.count(F.lit(1)).alias("cohort_size"), *[F.sum(f"__{k}").alias(f"__{k}") for k in days]
@@ -210,6 +199,37 @@ def nday_retention(
     )
 
 
+def _clock(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp")) - F.unix_micros(ts.cast("date").cast("timestamp"))
+
+
+def _busy_days(log: DataFrame, days: Sequence[int], min_activity: int) -> DataFrame:
+    """user, first and a flag for each day: whether the user has so many rows in that block of 24 hours."""
+    rows = log.join(log.groupBy("user").agg(F.min("ts").alias("first")), "user")
+    early = F.when(_clock(F.col("ts")) < _clock(F.col("first")), 1).otherwise(0)
+    block = F.datediff(F.col("ts").cast("date"), F.col("first").cast("date")) - early
+    counted = rows.groupBy("user", "first", block.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    busy = F.col("n") >= min_activity
+    flags = [F.max(F.when(busy & (F.col("k") == k), 1).otherwise(0)).alias(f"__{k}") for k in days]
+    return counted.groupBy("user", "first").agg(*flags)
+
+
+def _active_days(log: DataFrame, days: Sequence[int]) -> DataFrame:
+    """user, first and a flag for each day: whether the user has a row in that block of 24 hours."""
+    per_day = log.groupBy("user", F.col("ts").cast("date").alias("day")).agg(
+        F.min("ts").alias("lo"), F.max("ts").alias("hi")
+    )
+    first = F.min("lo").over(W.partitionBy("user"))
+
+    gap = F.datediff(F.col("day"), F.col("first").cast("date"))
+    late = F.when(_clock(F.col("hi")) >= _clock(F.col("first")), gap)
+    early = F.when(_clock(F.col("lo")) < _clock(F.col("first")), gap - 1)
+    flags = [
+        F.max(F.when((late == k) | (early == k), 1).otherwise(0)).alias(f"__{k}") for k in days
+    ]
+    return per_day.withColumn("first", first).groupBy("user").agg(F.min("first").alias("first"), *flags)
+
+
 def calculate_retention(
     df: DataFrame,
     user_column: str = "user_id",
@@ -234,9 +254,7 @@ def calculate_retention(
     if method == "rolling":
         return rolling_retention(log, cohort_period, retention_periods, min_activity_threshold, round_decimals)
     if method == "n_day":
-        if min_activity_threshold != 1:
-            raise ValueError("n_day retention counts any activity; min_activity_threshold must be 1")
-        return nday_retention(log, retention_periods, round_decimals=round_decimals)
+        return nday_retention(log, retention_periods, round_decimals=round_decimals, min_activity=min_activity_threshold)
     raise ValueError(f"method {method!r} is not one of {METHODS}")
 
 

@@ -152,6 +152,23 @@ def retention_nday_exact(spark, d):
     return R.nday_retention(users(spark, d), 10, exact=True)
 
 
+def _busy_cells(days: list[int], least: int) -> str:
+    return ", ".join(f"CAST(COUNT(DISTINCT CASE WHEN k = {k} AND n >= {least} THEN u END) AS DOUBLE) / COUNT(DISTINCT u) * 100.0 AS Day_{k}" for k in days)
+
+
+@query(
+    "retention_nday_busy",
+    f"""
+WITH {USERS}, f AS (SELECT u, ts, MIN(ts) OVER (PARTITION BY u) AS f FROM log),
+k AS (SELECT u, f, CAST(floor((epoch_us(ts) - epoch_us(f)) / 86400000000.0) AS BIGINT) AS k, COUNT(*) AS n FROM f GROUP BY ALL)
+SELECT CAST(f AS DATE) AS cohort_date, COUNT(DISTINCT u) AS cohort_size, {_busy_cells([1, 3, 7, 14, 28], 2)} FROM k GROUP BY 1""",
+)
+def retention_nday_busy(spark, d):
+    """Users with two events or more in the k-th 24 hours, through the dispatcher of all methods."""
+    rows = users(spark, d).select(F.col("user").alias("user_id"), F.col("ts").alias("date"))
+    return R.calculate_retention(rows, method="n_day", retention_periods=28, min_activity_threshold=2, round_decimals=None)
+
+
 LONG = ", long AS (UNPIVOT matrix ON COLUMNS('Period_') INTO NAME k VALUE rate)"
 
 

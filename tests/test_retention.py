@@ -62,6 +62,15 @@ def test_days_are_elapsed_days(spark, log):
     assert R.calculate_retention(later, method="n_day", retention_periods=1).first()["Day_1"] == 100.0
 
 
+def test_days_with_enough_rows(spark):
+    rows = [(1, "2026-01-01 08:00:00"), (1, "2026-01-02 09:00:00"), (1, "2026-01-03 07:00:00"), (1, "2026-01-04 09:00:00"),
+            (2, "2026-01-01 10:00:00"), (2, "2026-01-02 10:00:00")]
+    df = spark.createDataFrame(rows, "user_id int, date string")
+    for least, day_1, day_3 in ((1, 100.0, 50.0), (2, 50.0, 0.0), (3, 0.0, 0.0)):
+        out = R.calculate_retention(df, method="n_day", retention_periods=3, min_activity_threshold=least).first()
+        assert (out["cohort_size"], out["Day_1"], out["Day_3"]) == (2, day_1, day_3)
+
+
 def test_reported_days():
     assert R.reported_days(12) == [1, 3, 7, 12]
     assert R.reported_days(400) == [1, 3, 7, 14, 30, 60, 90]
