@@ -3,9 +3,8 @@
 Documents are range-partitioned by id and encoded; each task cuts its ids into shards of whole documents.
 In a shard frequent pairs of ids are repeatedly replaced by nonterminals: each round counts all pairs, makes
 the most frequent ones rules, and replaces their occurrences from left to right, until no pair occurs LEAST
-times. A shard row of the file
-holds its rules, the expansion length of each rule, the remaining symbols, and its documents' ids and
-lengths, so any document, and any stretch of ids, is decoded without the rest.
+times, so that every rule saves more ids than it stores. A shard row of the file holds its rules, the expansion
+length of each rule, the remaining symbols, and its documents' ids and lengths, so any document, and any stretch of ids, is decoded without the rest.
 
 Files: `shards` (Parquet; part, seq, before = ids of earlier shards of the part, n_tokens, doc_ids, lengths,
 rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts` (part, start).
@@ -40,8 +39,9 @@ from ledgerlens.session import shuffles_freed
 
 END = 0
 SHARD_TOKENS = 1 << 19
-RULES = 2048
-LEAST = 16
+#: Rules made in a round at most, and the fewest occurrences of a pair: a rule stores two ids and saves one for each.
+RULES = 4096
+LEAST = 3
 #: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
 KEPT_PIECES, KEPT_CHARS = 300_000, 64
 _LEARN, _JOINED = 8192, 256
@@ -188,25 +188,30 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
     seq, grammar = ids.astype(np.uint32), []
     base = symbol = int(ids.max(initial=0)) + 1
+    # Where a pair may still occur `least` times: a count of known symbols only falls, so once too rare is always too rare.
+    alive = (seq[:-1] != end) & (seq[1:] != end)
     while len(seq) > 1 and (rounds is None or len(grammar) < rounds):
         # A pair is one number, of 32 bits where all symbols fit into 16.
         key, bits = (np.uint32, 16) if symbol <= 1 << 16 else (np.uint64, 32)
         keys = seq[:-1].astype(key) << key(bits) | seq[1:]
-        inside = (seq[:-1] != end) & (seq[1:] != end)
-        ordered = np.sort(keys[inside])
+        ordered = np.sort(keys[alive])
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.concatenate([edge, [len(ordered)]]))
         if not (counts >= least).any():
             break
-        often = np.flatnonzero(counts >= max(least, np.sort(counts)[-min(rules, len(counts))]))
-        often = often[np.argsort(-counts[often], kind="stable")[:rules]]
+        frequent = np.flatnonzero(counts >= least)
+        often = frequent[np.argsort(-counts[frequent], kind="stable")[:rules]]
         chosen = np.sort(ordered[edge[often]])
-        # Few positions hold a chosen pair; a table of hashes tells most others at once.
-        table = np.zeros(1 << 16, bool)
-        table[_slot(chosen)] = True
-        maybe = np.flatnonzero(table[_slot(keys)] & inside)
+        # Few positions hold a chosen or frequent pair; a table of hashes tells most others at once.
+        table = np.zeros(1 << 16, np.uint8)
+        table[_slot(ordered[edge[frequent]])] = 1
+        table[_slot(chosen)] = 2
+        living = np.flatnonzero(alive)
+        state = table[_slot(keys[living])]
+        alive[living[state == 0]] = False
+        maybe = living[state == 2]
         which = np.searchsorted(chosen, keys[maybe])
         which[which == len(chosen)] = 0
         hit = chosen[which] == keys[maybe]
@@ -216,10 +221,22 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
         start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
         take = (np.arange(len(places)) - start) % 2 == 0
         places, which = places[take], which[take]
+        # Touching pairs take occurrences from each other; a pair left with too few waits for a later round.
+        worth = np.bincount(which, minlength=len(chosen)) >= least
+        if worth.any():
+            stays = worth[which]
+            places, which = places[stays], (np.cumsum(worth) - 1)[which[stays]]
+            chosen = chosen[worth]
         seq[places] = symbol + which
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
+        # The pair that starts at a kept symbol lives on; pairs with a new symbol come to life.
+        alive = alive[keep[:-1]] if keep[-1] else np.append(alive[keep[:-1]], False)
+        alive = alive[: len(seq) - 1]
+        fresh = places - np.arange(len(places))
+        fresh = np.concatenate([fresh[fresh > 0] - 1, fresh[fresh < len(seq) - 1]])
+        alive[fresh] = (seq[fresh] != end) & (seq[fresh + 1] != end)
         grammar.append(np.stack([chosen >> key(bits), chosen & key((1 << bits) - 1)], axis=1).astype(np.uint32))
         symbol += len(chosen)
     pairs = np.concatenate(grammar) if grammar else np.empty((0, 2), np.uint32)
@@ -235,15 +252,34 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 def expansions(rules: np.ndarray) -> np.ndarray:
     """How many ids each rule stands for. The first row of rules holds the first nonterminal."""
-    base, out = int(rules[0, 0]), np.ones(len(rules) - 1, np.uint32)
-    for k, (a, b) in enumerate(rules[1:].tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    base, out = int(rules[0, 0]), []
+    for a, b in rules[1:].tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.uint32)
 
 
-def expand(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
+def expand(rules: np.ndarray, symbols: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for.
+
+    Where lengths, the rules' expansion lengths, say that the bodies of all rules are shorter than the result, each is
+    expanded once and copied; else the symbols are expanded level by level.
+    """
     base = int(rules[0, 0])
+    if lengths is not None and len(lengths):
+        bodies = int(lengths.sum(dtype=np.int64))
+        inner = symbols >= base
+        which = symbols[inner].astype(np.int64) - base
+        total = int(lengths[which].sum(dtype=np.int64)) + len(symbols) - len(which)
+        if bodies <= total:
+            flat = expand(rules, np.arange(base, base + len(lengths), dtype=np.uint32))
+            sizes = np.ones(len(symbols), np.int32)
+            sizes[inner] = lengths[which]
+            # Where each symbol's body lies: single ids behind the bodies of the rules.
+            source = np.empty(len(symbols), np.int32)
+            source[inner] = (np.cumsum(lengths, dtype=np.int64) - lengths)[which]
+            source[~inner] = bodies + np.arange(len(symbols) - len(which))
+            source -= np.cumsum(sizes, dtype=np.int32) - sizes
+            return np.concatenate([flat, symbols[~inner]])[np.repeat(source, sizes) + np.arange(total, dtype=np.int32)]
     while len(symbols) and (inner := symbols >= base).any():
         at = np.arange(len(symbols)) + np.cumsum(inner) - inner
         out = np.empty(len(symbols) + int(inner.sum()), np.uint32)
@@ -330,20 +366,20 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of each document, decoded from the files."""
     shards = spark.read.parquet(f"{path}/shards").join(F.broadcast(spark.read.parquet(f"{path}/parts")), "part")
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = shards.select("start", "before", "doc_ids", "lengths", "rules", "symbols")
+    rows = shards.select("start", "before", "doc_ids", "lengths", "rules", "symbols", "expansions")
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                start, before, keys, lengths, rules, symbols = (batch.column(c)[i] for c in range(6))
+                start, before, keys, lengths, rules, symbols, sizes_of = (batch.column(c)[i] for c in range(7))
                 grammar = np.frombuffer(rules.as_py(), np.uint32).reshape(-1, 2)
-                ids = expand(grammar, np.frombuffer(symbols.as_py(), np.uint32))
+                ids = expand(grammar, np.frombuffer(symbols.as_py(), np.uint32), np.frombuffer(sizes_of.as_py(), np.uint32))
                 sizes = np.array(lengths.as_py(), np.int64)
                 stops = np.cumsum(sizes)
                 raw, spans = ids.astype("<u4"), list(zip((stops - sizes).tolist(), stops.tolist(), strict=True))
                 out = [keys.values, pa.array(start.as_py() + before.as_py() + stops - sizes), pa.array(sizes),
-                       pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in spans], pa.int64())]
+                       pa.array([zlib.crc32(raw[a:b]) for a, b in spans], pa.int64())]
                 if with_ids:
                     out.append(pa.array([raw[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in schema.split(", ")])
