@@ -494,6 +494,8 @@ def test_near_duplicates(odd, docs, which):
     assert rows_of(found.withColumn("f", F.lower(F.lpad(F.hex("simhash"), 16, "0"))), "doc_id", "f", "component_id") == want
     kept = simhash.first_of_each(df)
     assert kept.columns == df.columns and kept.count() == len(set(classes))
+    clash = df.withColumnRenamed("source", "SimHash")
+    assert simhash.first_of_each(clash).columns == clash.columns
     assert rows_of(kept, "doc_id") == sorted(((first[c],) for c in set(classes)), key=repr)
 
 
@@ -501,8 +503,17 @@ def test_near_duplicates_of_nothing(odd):
     assert simhash.near_duplicates(empty(odd)).count() == 0 and simhash.first_of_each(empty(odd)).count() == 0
 
 
-@pytest.mark.parametrize("key_bytes", [2, 4])
-def test_links_connect_dense_and_random_fingerprints(spark, key_bytes):
+def test_count_filter_rejects_pairs_of_a_list_but_none_within_the_distance():
+    rng = np.random.default_rng(8)
+    one_list = rng.integers(0, 2**40, 2000, dtype=np.uint64)  # three bytes agree
+    one_list[1::2] = one_list[::2] ^ (np.uint64(1) << rng.integers(0, 40, 1000).astype(np.uint64))
+    x = one_list[:-1] ^ one_list[1:]
+    stays = simhash.enough_matches(x, 4)
+    assert 0 < stays.sum() < len(x) // 2 + 20 and stays[np.bitwise_count(x) <= 4].all()
+
+
+@pytest.mark.parametrize("key_bytes, long_list", [(2, 4096), (3, 4096), (4, 4096), (2, 12), (3, 1)])
+def test_links_connect_dense_and_random_fingerprints(spark, key_bytes, long_list):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
     prints = set()
@@ -514,7 +525,7 @@ def test_links_connect_dense_and_random_fingerprints(spark, key_bytes):
             prints.add(v)
     prints = sorted(prints)
     signed = [v - (1 << 64) if v >> 63 else v for v in prints]
-    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), key_bytes=key_bytes)
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), key_bytes=key_bytes, long_list=long_list)
     roots = {r["node"]: r["root"] for r in graph.components(links).collect()}
     for r in links.collect():
         assert ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4
