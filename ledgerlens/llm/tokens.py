@@ -29,6 +29,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,24 +52,40 @@ _OTHER_SPACE = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2
 # Digits and letters that all versions of Unicode agree on.
 _PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
 _STARTS = (" ", "\n")
+_MARK = "\0"
 _STOP = re.compile(f"(?<=[{_PLAIN}])(?=[.,])")
 _OTHER_STOP = re.compile(f"[.,](?<=[^{_PLAIN}][.,])")
 
 
-def cut(text: str) -> list[str]:
-    """The text in pieces that are encoded on their own; each but the first starts with its blank."""
+def marked(text: str) -> str:
+    """The text with a mark before each piece but the first; it holds no mark itself."""
     if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-        out = _CUT.split(text)
-        out[1:] = [" " + x for x in out[1:]]
-        return out
+        return _CUT.sub(_MARK + " ", text)
     # Every blank stands alone, and so does every line break where no two follow each other.
     if text[:1] in (".", ",") or _OTHER_STOP.search(text):
-        text = _STOP.sub("\0", text)
+        text = _STOP.sub(_MARK, text)
     else:
         text = text.replace(".", "\0.").replace(",", "\0,")
     if "\n\n" not in text:
         text = text.replace("\n", "\0\n")
-    return text.replace(" ", "\0 ").split("\0")
+    return text.replace(" ", "\0 ")
+
+
+def cut(text: str) -> list[str]:
+    """The text in pieces that are encoded on their own; each but the first starts with its blank."""
+    if _MARK in text:
+        out = _CUT.split(text)
+        return out[:1] + [" " + x for x in out[1:]]
+    return marked(text).split(_MARK)
+
+
+def cut_all(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts on end, and the number of pieces of each text."""
+    if any(_MARK in x for x in texts):
+        own = [cut(x) for x in texts]
+        return pa.array(list(chain.from_iterable(own)), pa.large_string()), np.fromiter(map(len, own), np.int64, len(own))
+    lists = pc.split_pattern(pa.array(map(marked, texts), pa.large_string()), _MARK)
+    return lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
 
 
 def load_tokenizer(file: str) -> Tokenizer:
@@ -81,6 +98,7 @@ def load_tokenizer(file: str) -> Tokenizer:
 def _tokenizer(file: str) -> tuple[Tokenizer, np.ndarray]:
     """The tokenizer and the number of bytes each of its ids stands for."""
     tokenizer = load_tokenizer(file)
+    tokenizer.model._resize_cache(0)  # no piece comes twice
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character for each byte
@@ -129,10 +147,11 @@ class Encoder:
         return self.flat[np.arange(total) + np.repeat(self.starts[at] - (stops - sizes), sizes)], sizes
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one string; the ids' bytes tell where a piece ends."""
+        """Encode new, different pieces, many in one string; the ids' bytes tell where a piece ends."""
         # One blank or line break in front and no other white space at the ends: the piece may stand between others.
-        joinable = [x for x in pieces if x[:1] in _STARTS and x.strip() == x[1:] != ""]
-        alone = sorted(set(pieces).difference(joinable))
+        joinable, alone = [], []
+        for x in pieces:
+            (joinable if x[:1] in _STARTS and x.strip() == x[1:] != "" else alone).append(x)
         if alone:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -161,21 +180,19 @@ class Encoder:
         """The ids of all texts on end, without an end id, and the number of ids of each."""
         if len(self.place) > KEPT_PIECES:
             self.trim()
-        pieces: list[str] = []
-        counts = []
-        for text in texts:
-            own = cut(text)
-            pieces += own
-            counts.append(len(own))
-        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if len(miss := np.flatnonzero(at < 0).tolist()):
-            new = list(dict.fromkeys(pieces[i] for i in miss))
+        pieces, counts = cut_all(texts)
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
+        if len(miss := np.flatnonzero(known < 0)):
+            new = [different[i] for i in miss.tolist()]
             for k in range(0, len(new), _LEARN):  # the library's results are large
                 self.learn(new[k : k + _LEARN])
-            at[miss] = [self.place[pieces[i]] for i in miss]
+            known[miss] = [self.place[x] for x in new]
             for x in new:
                 if len(x) > KEPT_CHARS:
                     del self.place[x]
+        at = known[coded.indices.to_numpy()]
         seen = np.bincount(at, minlength=self.count)
         seen[: len(self.seen)] += self.seen
         self.seen = seen
@@ -209,12 +226,18 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
         table[_slot(ordered[edge[frequent]])] = 1
         table[_slot(chosen)] = 2
         living = np.flatnonzero(alive)
-        state = table[_slot(keys[living])]
+        slots = _slot(keys[living])
+        state = table[slots]
         alive[living[state == 0]] = False
-        maybe = living[state == 2]
-        which = np.searchsorted(chosen, keys[maybe])
-        which[which == len(chosen)] = 0
-        hit = chosen[which] == keys[maybe]
+        maybe, slots = living[state == 2], slots[state == 2]
+        wanted = keys[maybe]
+        # The last chosen pair of each slot is nearly always the one; the others are searched for.
+        last = np.zeros(1 << 16, np.int64)
+        last[_slot(chosen)] = np.arange(len(chosen))
+        which = last[slots]
+        other = np.flatnonzero(chosen[which] != wanted)
+        which[other] = np.minimum(np.searchsorted(chosen, wanted[other]), len(chosen) - 1)
+        hit = chosen[which] == wanted
         places, which = maybe[hit], which[hit]
         # In a run of touching pairs every other one is replaced.
         first = np.concatenate([[True], np.diff(places) != 1])
