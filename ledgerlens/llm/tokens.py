@@ -11,7 +11,7 @@ rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts
 
 Encoding is the tokenizers library's. Byte-level pre-tokenisation always starts a new piece at a single blank or
 line break between two characters that are not white space, and at a full stop or comma behind a letter or digit;
-texts are cut there and each different piece is encoded once in a task for as long as it is kept.
+texts are cut there and each different piece is encoded once in a worker for as long as it is kept, at most KEPT_PIECES of them.
 
 Defined cases: null text is empty; every document ends with the end id; equal ids are ordered by text hash,
 null ids come first; no pair crosses the end of a document; an empty table writes empty files. A shard
@@ -43,7 +43,7 @@ SHARD_TOKENS = 1 << 19
 #: Rules made in a round at most, and the fewest occurrences of a pair: a rule stores two ids and saves one for each.
 RULES = 4096
 LEAST = 3
-#: Pieces kept with their ids in a task, and the longest piece kept; others are encoded anew.
+#: Pieces kept with their ids in a worker, and the longest piece kept; others are encoded anew.
 KEPT_PIECES, KEPT_CHARS = 300_000, 64
 _LEARN, _JOINED = 8192, 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -201,6 +201,12 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+@functools.cache
+def _encoder(file: str) -> Encoder:
+    """One encoder for the tasks that a worker runs one after another; it keeps its pieces, and ids do not depend on them."""
+    return Encoder(file)
+
+
 def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
     seq, grammar = ids.astype(np.uint32), []
@@ -337,7 +343,7 @@ def write_tokens(
               "rules binary, expansions binary, symbols binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
         seq = before = waiting = 0
         keys: list = []
         held: list[np.ndarray] = []
