@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ledgerlens.llm.rows import quoted, small_batches
 from ledgerlens.session import shuffles_freed
@@ -44,8 +44,9 @@ SHARD_TOKENS = 1 << 19
 RULES = 4096
 LEAST = 3
 #: Pieces kept with their ids in a worker, and the longest piece kept; others are encoded anew.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
+KEPT_PIECES, KEPT_CHARS = 800_000, 64
 _LEARN, _JOINED = 8192, 256
+_SLOT_BITS = 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # White space other than the blank and the line break, and the mark used for cutting.
 _OTHER_SPACE = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -53,8 +54,15 @@ _OTHER_SPACE = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2
 _PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
 _STARTS = (" ", "\n")
 _MARK = "\0"
+_WORD = re.compile("[ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481]+").fullmatch
 _STOP = re.compile(f"(?<=[{_PLAIN}])(?=[.,])")
 _OTHER_STOP = re.compile(f"[.,](?<=[^{_PLAIN}][.,])")
+# The same for Arrow's expressions, which spell code points their own way.
+_OTHER_SPACES, _OTHER_STOPS = (
+    re.sub("[^\n -~]", lambda m: f"\\x{{{ord(m[0]):x}}}", x) for x in (f"  | \n|\n |{_OTHER_SPACE.pattern}", f"^[.,]|[^{_PLAIN}][.,]")
+)
+# The bytes that begin a piece in all other texts; a line break does where no two touch.
+_BEGINS = np.isin(np.arange(256), [ord(x) for x in " \n.,"])
 
 
 def marked(text: str) -> str:
@@ -79,13 +87,26 @@ def cut(text: str) -> list[str]:
     return marked(text).split(_MARK)
 
 
-def cut_all(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def cut_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The pieces of all texts on end, and the number of pieces of each text."""
-    if any(_MARK in x for x in texts):
-        own = [cut(x) for x in texts]
-        return pa.array(list(chain.from_iterable(own)), pa.large_string()), np.fromiter(map(len, own), np.int64, len(own))
-    lists = pc.split_pattern(pa.array(map(marked, texts), pa.large_string()), _MARK)
-    return lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    texts = texts.cast(pa.large_string())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    begins = _BEGINS[raw]
+    lines = np.flatnonzero(raw == ord("\n"))
+    touching = lines[:-1][np.diff(lines) == 1]
+    begins[touching] = begins[touching + 1] = False
+    # Texts with other white space, with blanks that do not stand alone, or with stops behind other characters are cut one by one.
+    other = pc.or_(pc.match_substring_regex(texts, _OTHER_SPACES), pc.match_substring_regex(texts, _OTHER_STOPS))
+    for i in np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist():
+        own = np.cumsum([len(x.encode()) for x in cut(texts[i].as_py())])
+        begins[edges[i] : edges[i + 1]] = False
+        begins[edges[i] + own[:-1][own[:-1] < own[-1]]] = True
+    begins[edges[:-1][edges[:-1] < edges[1:]]] = True
+    starts = np.flatnonzero(begins)
+    offsets = np.append(starts, len(raw)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)), np.diff(np.searchsorted(starts, edges))
 
 
 def load_tokenizer(file: str) -> Tokenizer:
@@ -94,15 +115,30 @@ def load_tokenizer(file: str) -> Tokenizer:
     return Tokenizer.from_file(file)
 
 
+def byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in byte-level vocabularies; the byte 0 stays, as a mark."""
+    shown = np.zeros(256, bool)
+    for a, b in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)):
+        shown[a : b + 1] = True
+    letters = np.where(shown, np.arange(256), 255 + np.cumsum(~shown)).astype("<u4")
+    letters[0] = 0
+    return letters
+
+
+_BYTE_LETTERS = byte_letters()
+
+
 @functools.cache
-def _tokenizer(file: str) -> tuple[Tokenizer, np.ndarray]:
-    """The tokenizer and the number of bytes each of its ids stands for."""
+def _tokenizer(file: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer, one with its model for marked byte letters, and the number of bytes each id stands for."""
     tokenizer = load_tokenizer(file)
     tokenizer.model._resize_cache(0)  # no piece comes twice
+    letters = Tokenizer(tokenizer.model)
+    letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_MARK)
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character for each byte
-    return tokenizer, sizes
+    return tokenizer, letters, sizes
 
 
 def _utf8_ends(pieces: list[str]) -> np.ndarray:
@@ -116,7 +152,7 @@ class Encoder:
     """Ids of texts; each different piece is encoded once."""
 
     def __init__(self, file: str):
-        self.tokenizer, self.bytes_of = _tokenizer(file)
+        self.tokenizer, self.letters, self.bytes_of = _tokenizer(file)
         self.clear()
 
     def clear(self) -> None:
@@ -148,20 +184,31 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new, different pieces, many in one string; the ids' bytes tell where a piece ends."""
-        # One blank or line break in front and no other white space at the ends: the piece may stand between others.
-        joinable, alone = [], []
+        # A word needs no pre-tokeniser. Of the others, those with one blank or line break in front and no other white
+        # space at the ends may stand between others.
+        words, joinable, alone = [], [], []
         for x in pieces:
-            (joinable if x[:1] in _STARTS and x.strip() == x[1:] != "" else alone).append(x)
+            if _WORD(x):
+                words.append(x)
+            else:
+                (joinable if x[:1] in _STARTS and x.strip() == x[1:] != "" else alone).append(x)
         if alone:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.add(alone, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
-        if pieces := joinable:
-            joined = ["".join(pieces[k : k + _JOINED]) for k in range(0, len(pieces), _JOINED)]
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            flat = np.concatenate(ids)
-            stops = np.searchsorted(np.cumsum(self.bytes_of[flat]), _utf8_ends(pieces)) + 1
-            self.add(pieces, flat, np.diff(np.concatenate([[0], stops])))
+        if joinable:
+            self.add_joined(joinable, self.tokenizer, joinable, "")
+        if words:
+            # A line break is a token of its own, a blank belongs to its word.
+            raw = np.frombuffer(_MARK.join(words).replace("\n", "\n" + _MARK).encode(), np.uint8)
+            self.add_joined(words, self.letters, _BYTE_LETTERS[raw].tobytes().decode("utf-32-le").split(_MARK), _MARK)
+
+    def add_joined(self, pieces: list[str], tokenizer: Tokenizer, parts: list[str], mark: str) -> None:
+        """Encode pieces, cut into parts, many in one string."""
+        joined = [mark.join(parts[k : k + _JOINED]) for k in range(0, len(parts), _JOINED)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        stops = np.searchsorted(np.cumsum(self.bytes_of[flat]), _utf8_ends(pieces)) + 1
+        self.add(pieces, flat, np.diff(np.concatenate([[0], stops])))
 
     def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         more = len(ids)
@@ -176,8 +223,10 @@ class Encoder:
         self.place.update(zip(pieces, range(at.start, at.stop), strict=True))
         self.used, self.count = self.used + more, at.stop
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, without an end id, and the number of ids of each."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
         if len(self.place) > KEPT_PIECES:
             self.trim()
         pieces, counts = cut_all(texts)
@@ -209,15 +258,23 @@ def _encoder(file: str) -> Encoder:
 
 def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs; rule k makes the symbol max(ids) + 1 + k) and the remaining symbols."""
-    seq, grammar = ids.astype(np.uint32), []
-    base = symbol = int(ids.max(initial=0)) + 1
+    base, grammar = int(ids.max(initial=0)) + 1, []
+    # The ids that occur are numbered anew in their order, few enough for a pair of symbols to fit into 32 bits.
+    occurs = np.bincount(ids, minlength=base) > 0
+    present, number = np.flatnonzero(occurs).astype(np.uint32), (np.cumsum(occurs) - 1).astype(np.uint32)
+    seq, symbol = number[ids], len(present)
+    end = int(number[end]) if end < base and occurs[end] else -1
     # Where a pair may still occur `least` times: a count of known symbols only falls, so once too rare is always too rare.
     alive = (seq[:-1] != end) & (seq[1:] != end)
     while len(seq) > 1 and (rounds is None or len(grammar) < rounds):
         # A pair is one number, of 32 bits where all symbols fit into 16.
         key, bits = (np.uint32, 16) if symbol <= 1 << 16 else (np.uint64, 32)
-        keys = seq[:-1].astype(key) << key(bits) | seq[1:]
-        ordered = np.sort(keys[alive])
+        keys = seq[:-1].astype(key)
+        keys <<= key(bits)
+        keys |= seq[1:]
+        living = np.flatnonzero(alive)
+        keys = keys[living]
+        ordered = np.sort(keys)
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -228,17 +285,16 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
         often = frequent[np.argsort(-counts[frequent], kind="stable")[:rules]]
         chosen = np.sort(ordered[edge[often]])
         # Few positions hold a chosen or frequent pair; a table of hashes tells most others at once.
-        table = np.zeros(1 << 16, np.uint8)
+        table = np.zeros(1 << _SLOT_BITS, np.uint8)
         table[_slot(ordered[edge[frequent]])] = 1
         table[_slot(chosen)] = 2
-        living = np.flatnonzero(alive)
-        slots = _slot(keys[living])
+        slots = _slot(keys)
         state = table[slots]
-        alive[living[state == 0]] = False
-        maybe, slots = living[state == 2], slots[state == 2]
-        wanted = keys[maybe]
+        alive[living] = state > 0
+        maybe = np.flatnonzero(state == 2)
+        slots, wanted, maybe = slots[maybe], keys[maybe], living[maybe]
         # The last chosen pair of each slot is nearly always the one; the others are searched for.
-        last = np.zeros(1 << 16, np.int64)
+        last = np.zeros(1 << _SLOT_BITS, np.int32)
         last[_slot(chosen)] = np.arange(len(chosen))
         which = last[slots]
         other = np.flatnonzero(chosen[which] != wanted)
@@ -248,7 +304,7 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
         # In a run of touching pairs every other one is replaced.
         first = np.concatenate([[True], np.diff(places) != 1])
         start = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
-        take = (np.arange(len(places)) - start) % 2 == 0
+        take = (np.arange(len(places)) - start) & 1 == 0
         places, which = places[take], which[take]
         # Touching pairs take occurrences from each other; a pair left with too few waits for a later round.
         worth = np.bincount(which, minlength=len(chosen)) >= least
@@ -269,14 +325,15 @@ def compress(ids: np.ndarray, end: int = END, rounds: int | None = None, rules:
         grammar.append(np.stack([chosen >> key(bits), chosen & key((1 << bits) - 1)], axis=1).astype(np.uint32))
         symbol += len(chosen)
     pairs = np.concatenate(grammar) if grammar else np.empty((0, 2), np.uint32)
-    return np.concatenate([[[base, 0]], pairs]).astype(np.uint32), seq
+    names = np.concatenate([present, np.arange(base, base + len(pairs), dtype=np.uint32)])
+    return np.concatenate([[[base, 0]], names[pairs]]).astype(np.uint32), names[seq]
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    """Hashes of 16 bits."""
+    """Hashes of a few bits."""
     if keys.dtype == np.uint32:
-        return (keys * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
-    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+        return (keys * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def expansions(rules: np.ndarray) -> np.ndarray:
@@ -359,12 +416,11 @@ def write_tokens(
         for batch in batches:
             id_type = batch.schema.field(0).type
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            chars = np.cumsum(pc.utf8_length(texts).to_numpy(), dtype=np.int64)
             at = 0
             while at < len(ids):
-                some, chars = [], 0
-                while at + len(some) < len(ids) and chars < 2 * shard_tokens:
-                    some.append(texts[at + len(some)].as_py())
-                    chars += len(some[-1])
+                to = np.searchsorted(chars, 2 * shard_tokens + (chars[at - 1] if at else 0))
+                some = texts[at : int(to) + 1]
                 found, counts = encoder.encode(some)
                 stops = np.cumsum(counts)
                 flat = np.insert(found, stops, END)  # the end id behind each document

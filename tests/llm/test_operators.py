@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -184,6 +185,32 @@ def test_pieces_encode_like_whole_texts(texts):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Bé", "жё", "ß", "ÿ", " word", " ", "\n", "\nWord", ".", ",", "!!", "'s", "7", "ª", "世", "\0", "\t", "<|endoftext|>"])).map("".join), max_size=6))
+def test_pieces_cut_by_bytes(texts):
+    """Slices of Arrow arrays are cut into pieces that make up the texts and encode like them."""
+    encoder = tokens.Encoder(queries.TOKENIZER)
+    pieces, counts = tokens.cut_all(pa.array(["before", *texts])[1:])
+    stops = np.cumsum(counts).tolist()
+    assert ["".join(pieces[b - n : b].to_pylist()) for b, n in zip(stops, counts.tolist(), strict=True)] == texts
+    ids, sizes = encoder.encode(pa.array(["before", *texts])[1:])
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_many_pieces_are_encoded_once():
+    """Half a million different words stay known, so that later texts of a worker find them."""
+    letters = "abcdefghijklmnopqrstuvwxyzé"
+    words = [f" {a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters]
+    texts = ["".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+    encoder = tokens.Encoder(queries.TOKENIZER)
+    ids, sizes = encoder.encode(texts)
+    known = encoder.count
+    again, _ = encoder.encode(texts)
+    assert known == encoder.count and np.array_equal(ids, again)
+    assert ids[: sizes[0]].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
