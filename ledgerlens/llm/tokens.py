@@ -10,8 +10,9 @@ Files: `shards` (Parquet; part, seq, before = ids of earlier shards of the part,
 rules, expansions, symbols as little-endian unsigned 32-bit integers) and `parts` (part, start).
 
 Encoding is the tokenizers library's. Byte-level pre-tokenisation always starts a new piece at a single blank or
-line break between two characters that are not white space, and at a full stop or comma behind a letter or digit;
-texts are cut there and each different piece is encoded once in a worker for as long as it is kept, at most KEPT_PIECES of them.
+line break between two characters that are not white space, and at a full stop, a comma or some other marks
+behind a letter or digit; texts are cut there and each different piece is encoded once in a worker for as long as it is kept, about
+KEPT_PIECES at most. Pieces that are one word go to the tokenizer's model as the letters that stand for their bytes.
 
 Defined cases: null text is empty; every document ends with the end id; equal ids are ordered by text hash,
 null ids come first; no pair crosses the end of a document; an empty table writes empty files. A shard
@@ -63,6 +64,9 @@ _OTHER_SPACES, _OTHER_STOPS = (
 )
 # The bytes that begin a piece in all other texts; a line break does where no two touch.
 _BEGINS = np.isin(np.arange(256), [ord(x) for x in " \n.,"])
+# These marks do behind a letter or digit; others may be part of a special token.
+_WORDS = np.array([x < 128 and chr(x).isalnum() for x in range(256)])
+_MARKS = np.isin(np.arange(256), [ord(x) for x in '!"#$%&)*:;?'])
 
 
 def marked(text: str) -> str:
@@ -94,6 +98,9 @@ def cut_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
     edges = edges - edges[0]
     begins = _BEGINS[raw]
+    marks = np.flatnonzero(_MARKS[raw])
+    marks = marks[marks > 0]
+    begins[marks[_WORDS[raw[marks - 1]]]] = True
     lines = np.flatnonzero(raw == ord("\n"))
     touching = lines[:-1][np.diff(lines) == 1]
     begins[touching] = begins[touching + 1] = False
@@ -162,10 +169,9 @@ class Encoder:
         self.seen = np.zeros(0, np.int64)
 
     def trim(self) -> None:
-        """Keep the pieces seen more than once; they are the ones that come again."""
-        kept = [(x, i) for x, i in self.place.items() if self.seen[i] > 1]
-        if 2 * len(kept) > KEPT_PIECES:
-            return self.clear()
+        """Keep the pieces seen most, half of them at most; they are the ones that come again."""
+        often = np.sort(self.seen)[: -KEPT_PIECES // 2 or None][-1:].max(initial=1)
+        kept = [(x, i) for x, i in self.place.items() if self.seen[i] > often]
         at = np.fromiter((i for _, i in kept), np.int64, len(kept))
         ids, sizes = self.ids_of(at)
         self.place = {x: k for k, (x, _) in enumerate(kept)}

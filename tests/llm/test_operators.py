@@ -186,7 +186,7 @@ def test_pieces_encode_like_whole_texts(texts):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "Bé", "жё", "ß", "ÿ", " word", " ", "\n", "\nWord", ".", ",", "!!", "'s", "7", "ª", "世", "\0", "\t", "<|endoftext|>"])).map("".join), max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["a", "Bé", "жё", "ß", "ÿ", " word", " ", "\n", "\nWord", ".", ",", "!!", "a!", "é;", "'s", "7", "ª", "世", "\0", "\t", "<|endoftext|>"])).map("".join), max_size=6))
 def test_pieces_cut_by_bytes(texts):
     """Slices of Arrow arrays are cut into pieces that make up the texts and encode like them."""
     encoder = tokens.Encoder(queries.TOKENIZER)
@@ -211,6 +211,17 @@ def test_many_pieces_are_encoded_once():
     assert ids[: sizes[0]].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_trim_keeps_the_most_seen(monkeypatch):
+    """An encoder with more frequent pieces than it may keep still knows those that are seen most."""
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 100)
+    words = [f" w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    encoder = tokens.Encoder(queries.TOKENIZER)
+    encoder.encode(["".join(words + words[:80] + words[:30])])
+    ids, _ = encoder.encode(["".join(words[:30])])
+    assert encoder.count == len(encoder.place) == 30
+    assert ids.tolist() == encoder.tokenizer.encode("".join(words[:30]), add_special_tokens=False).ids
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
